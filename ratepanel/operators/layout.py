@@ -107,8 +107,8 @@ def open_series(
     hot = (
         df.groupBy(key, SLICE)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, SLICE, "_n", first.alias("_first"), F.sum("_n").over(per_key).alias("_all"))
-        .where(F.col("_all") > rows_per_block)
+        .select(key, SLICE, "_n", first.alias("_first"), F.sum("_n").over(per_key).alias("_key_rows"))
+        .where(F.col("_key_rows") > rows_per_block)
         .select(
             key,
             SLICE,
