@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ratepanel.functions.indicators import ratio
 from ratepanel.operators.features import DEFAULTS
-from ratepanel.operators.layout import BLOCK, OWN, fill_forward, is_calendar, open_series, running_offset
+from ratepanel.operators.layout import BLOCK, OWN, fill_forward, is_calendar, open_series, with_rank
 
 CALENDAR_BLOCK = 100_000
 INDEX = "cal_idx"
@@ -42,7 +42,7 @@ def calendar(df: DataFrame, date: str = "date") -> DataFrame:
     if is_calendar(df, date):
         # bounded by the calendar: one row per day
         return dates.withColumn(INDEX, (F.row_number().over(Window.orderBy(date)) - 1).cast("long"))
-    return running_offset(dates.withColumn("_one", F.lit(1)), [date], "_one", INDEX).drop("_one")
+    return with_rank(dates, [date], INDEX)
 
 
 def _calendar_blocks(df: DataFrame, halo: int, rows_per_block: int) -> DataFrame:

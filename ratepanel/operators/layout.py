@@ -28,8 +28,11 @@ from pyspark.sql.window import WindowSpec
 from ratepanel.session import settle
 
 ROWS_PER_BLOCK = 1_000_000
+# A slice of one key is bounded by the time units it holds, and so is the number
+# of slices of a key: a century has 0.6 million slices of days and 53 million
+# of minutes.
 SLICE_DAYS = 64
-SLICE_SECONDS = 3600
+SLICE_SECONDS = 60
 
 BLOCK = "_block"
 OWN = "_own"
@@ -141,36 +144,29 @@ def running_sum(s: Series, df: DataFrame, value: str, out: str) -> DataFrame:
     )
 
 
-def fill_forward(s: Series, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Last non-null value of the series up to this row."""
-    seen = {c: F.last(c, ignorenulls=True).over(s.so_far()) for c in columns}
-    if not s.split:
-        return df.withColumns(seen)
-    newest = df.where(OWN).groupBy(s.key, BLOCK).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*s.order))).alias(c) for c in columns]
-    )
-    earlier = Window.partitionBy(s.key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = newest.select(
-        s.key, BLOCK, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in columns]
-    )
-    df = df.withColumns(seen).join(carry, [s.key, BLOCK], "left")
-    df = df.withColumns({c: F.coalesce(c, f"_carry_{c}") for c in columns})
-    return df.drop(*[f"_carry_{c}" for c in columns])
+def fill_forward(s: Series, df: DataFrame, columns: Sequence[str], head: bool = False) -> DataFrame:
+    """Last non-null value of the series up to this row.
 
-
-def fill_backward(s: Series, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Next non-null value of the series from this row on."""
-    ahead = s.ordered().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = {c: F.first(c, ignorenulls=True).over(ahead) for c in columns}
+    ``head`` gives the rows before the first value that first value.
+    """
+    seen = {c: F.last(c, ignorenulls=True).over(s.so_far()) for c in columns}
     if not s.split:
+        if head:
+            whole = s.ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            seen = {c: F.coalesce(v, F.first(c, ignorenulls=True).over(whole)) for c, v in seen.items()}
         return df.withColumns(seen)
-    oldest = df.where(OWN).groupBy(s.key, BLOCK).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*s.order))).alias(c) for c in columns]
-    )
-    later = Window.partitionBy(s.key).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    carry = oldest.select(
-        s.key, BLOCK, *[F.first(c, ignorenulls=True).over(later).alias(f"_carry_{c}") for c in columns]
-    )
+    # the newest and oldest value of every block, then of the blocks around it
+    when = {c: F.when(F.col(c).isNotNull(), F.struct(*s.order)) for c in columns}
+    ends = [F.max_by(c, when[c]).alias(f"_new_{c}") for c in columns]
+    ends += [F.min_by(c, when[c]).alias(f"_old_{c}") for c in columns] if head else []
+    per_key = Window.partitionBy(s.key).orderBy(BLOCK)
+    earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    whole = per_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = {c: F.last(f"_new_{c}", ignorenulls=True).over(earlier) for c in columns}
+    if head:
+        carried = {c: F.coalesce(v, F.first(f"_old_{c}", ignorenulls=True).over(whole)) for c, v in carried.items()}
+    blocks = df.where(OWN).groupBy(s.key, BLOCK).agg(*ends)
+    carry = blocks.select(s.key, BLOCK, *[v.alias(f"_carry_{c}") for c, v in carried.items()])
     df = df.withColumns(seen).join(carry, [s.key, BLOCK], "left")
     df = df.withColumns({c: F.coalesce(c, f"_carry_{c}") for c in columns})
     return df.drop(*[f"_carry_{c}" for c in columns])
@@ -179,27 +175,24 @@ def fill_backward(s: Series, df: DataFrame, columns: Sequence[str]) -> DataFrame
 # --- positions in a total order --------------------------------------------
 
 
-def running_offset(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` over the total order of ``df``.
+def with_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Zero-based row number in the total order of ``order``.
 
-    Range-partitioned, so no task sees all rows: each partition sums its own
-    rows, and the totals of the partitions before it are added. The ranged
-    frame is settled first because both steps must see the same ranges.
+    Rows are range-partitioned, so no task sees all of them and no key is too
+    large; a row's number is its place in its range plus the sizes of the
+    ranges before. The ranged frame is settled first, because both are taken
+    from it and must see the same ranges.
     """
     row = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", row)
-    ranged = settle(ranged).withColumn("_part", F.shiftright("_row", 33))
-    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
+    ranged = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", row))
+    # the id holds the partition above bit 33 and the place in it below
+    ranged = ranged.withColumn("_part", F.shiftright("_row", 33)).withColumn("_at", F.col("_row") % (1 << 33))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range partition
-    parts_before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_part", F.coalesce(F.sum("_total").over(parts_before), F.lit(0)).alias("_base"))
-    rows_before = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn(out, F.coalesce(F.sum(value).over(rows_before), F.lit(0)))
-        .join(F.broadcast(base), "_part")
-        .withColumn(out, (F.col(out) + F.col("_base")).cast("long"))
-        .drop("_part", "_row", "_base")
-    )
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    placed = ranged.join(F.broadcast(base), "_part")
+    return placed.withColumn(out, F.col("_base") + F.col("_at")).select(*df.columns, out)
 
 
 def with_position(
@@ -213,17 +206,11 @@ def with_position(
 
     ``in_key`` names a second column for the position inside the key.
     """
-    df = df.withColumn(SLICE, time_slice(df, date))
-    sizes = df.groupBy(key, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = running_offset(sizes, [key, SLICE], "_n", "_offset")
-    if in_key:
-        offsets = offsets.withColumn("_start", F.min("_offset").over(Window.partitionBy(key)))
-    within = Window.partitionBy(key, SLICE).orderBy(date)
-    df = df.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, [key, SLICE])
-    df = df.withColumn(position, (F.col("_offset") + F.col("_rank")).cast("long"))
-    if in_key:
-        df = df.withColumn(in_key, F.col(position) - F.col("_start")).drop("_start")
-    return df.drop(SLICE, "_n", "_offset", "_rank")
+    placed = with_rank(df, [key, date], position)
+    if in_key is None:
+        return placed
+    starts = placed.groupBy(key).agg(F.min(position).alias("_start"))
+    return placed.join(starts, key).withColumn(in_key, F.col(position) - F.col("_start")).drop("_start")
 
 
 def position_blocks(df: DataFrame, position: str, halo: int, rows_per_block: int) -> DataFrame:

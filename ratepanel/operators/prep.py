@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratepanel.functions import indicators as ind
-from ratepanel.operators.layout import BLOCK, OWN, open_series, position_blocks, with_position
+from ratepanel.operators.layout import BLOCK, OWN, is_calendar, open_series, position_blocks, with_position, with_rank
 from ratepanel.operators.quantiles import MAX_GROUP_ROWS, quantiles
 
 # Target modes.
@@ -194,9 +194,7 @@ def one_hot(df: DataFrame, keys: Sequence[Any], key: str = "key", prefix: str |
 
 def category_index(df: DataFrame, key: str = "key", out: str = "key_index") -> DataFrame:
     """Category numbers in key order, for any number of keys."""
-    from ratepanel.operators.layout import running_offset
-
-    return running_offset(df.select(key).distinct().withColumn("_one", F.lit(1)), [key], "_one", out).drop("_one")
+    return with_rank(df.select(key).distinct(), [key], out)
 
 
 def one_hot_vector(df: DataFrame, dimension: DataFrame, key: str = "key", index: str = "key_index", out: str = "key_vec") -> DataFrame:
@@ -228,14 +226,18 @@ def split(
     """Mark the first ``ratio`` of rows: of all rows in (key, date) order
     (``positional``), or of each key's own history (``per_key_time``)."""
     if mode == "positional":
-        placed = with_position(df, key, date, "_pos").join(F.broadcast(row_total(df)))
-        return placed.withColumn(out, F.col("_pos") < F.floor(F.col("_rows") * F.lit(ratio))).drop("_pos", "_rows")
-    if mode == "per_key_time":
-        placed = with_position(df, key, date, "_pos", in_key="_at")
-        sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-        placed = placed.join(sizes, key)
-        return placed.withColumn(out, F.col("_at") < F.floor(F.col("_rows") * F.lit(ratio))).drop("_pos", "_at", "_rows")
-    raise ValueError(f"unknown split mode {mode!r}, expected positional or per_key_time")
+        placed = with_position(df, key, date, "_at").join(F.broadcast(row_total(df)))
+    elif mode == "per_key_time":
+        if is_calendar(df, date):
+            w = Window.partitionBy(key)
+            at, rows = F.row_number().over(w.orderBy(date)) - 1, F.count(F.lit(1)).over(w)
+            placed = df.withColumns({"_at": at, "_rows": rows})
+        else:
+            sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+            placed = with_position(df, key, date, "_pos", in_key="_at").join(sizes, key)
+    else:
+        raise ValueError(f"unknown split mode {mode!r}, expected positional or per_key_time")
+    return placed.withColumn(out, F.col("_at") < F.floor(F.col("_rows") * F.lit(ratio))).select(*df.columns, out)
 
 
 # --- sequences --------------------------------------------------------------

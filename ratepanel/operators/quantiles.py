@@ -32,8 +32,21 @@ def quantiles(
 ) -> DataFrame:
     """One row per group; ``outputs`` maps a name to (column, probability)."""
     if largest_group(df, by) <= max_group_rows:
-        exact = [F.percentile(column, F.lit(prob)).alias(name) for name, (column, prob) in outputs.items()]
-        return df.groupBy(*by).agg(*exact) if by else df.agg(*exact)
+        # one buffer per column, whatever the number of its probabilities
+        columns: dict[str, list[tuple[str, float]]] = {}
+        for name, (column, prob) in outputs.items():
+            columns.setdefault(column, []).append((name, prob))
+        exact = [
+            F.percentile(column, F.array(*[F.lit(prob) for _, prob in wanted])).alias(f"_p{i}")
+            for i, (column, wanted) in enumerate(columns.items())
+        ]
+        solved = df.groupBy(*by).agg(*exact) if by else df.agg(*exact)
+        picked = [
+            F.col(f"_p{i}")[k].alias(name)
+            for i, wanted in enumerate(columns.values())
+            for k, (name, _) in enumerate(wanted)
+        ]
+        return solved.select(*by, *picked)
     return select_quantiles(df, outputs, by, accuracy)
 
 

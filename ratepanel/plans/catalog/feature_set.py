@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratepanel.operators import cross, features
 from ratepanel.operators.ema import ema
 from ratepanel.plans import panels
-from ratepanel.plans.catalog.inputs import BARS, bars_hourly
+from ratepanel.plans.catalog.inputs import BARS, bars_table
 from ratepanel.plans.catalog.registry import (
     BASE_KEY,
     PANEL,
@@ -140,7 +140,7 @@ def c9(spark: SparkSession, sf: str) -> DataFrame:
 
 def priced_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly bars; the rate is the close."""
-    return bars_hourly(spark, sf).withColumn("rate", F.col("close"))
+    return bars_table(spark, sf).withColumn("rate", F.col("close"))
 
 
 PRICED = BARS + ", priced AS (SELECT *, close AS rate FROM bars)"

@@ -12,7 +12,7 @@ from ratepanel.functions.dates import parse_mixed_date
 from ratepanel.operators import clean, metrics, prep
 from ratepanel.plans import panels
 from ratepanel.plans.catalog.registry import BASE, PANEL, RAW, W0, base_preds, query, r, rounded, rs, with_sql
-from ratepanel.session import shared_folder
+from ratepanel.session import settle, shared_folder
 from ratepanel.sources import bars, rates, sinks, symbols
 
 
@@ -118,6 +118,11 @@ def bars_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return bars.bars(panels.ticks(spark, sf), "hour")
 
 
+def bars_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The bars written once, for operators that read them several times."""
+    return settle(bars_hourly(spark, sf))
+
+
 BARS = """bars AS (
   SELECT event_type AS key, date_trunc('hour', ts) AS date, arg_min(value, (ts, value)) AS open, max(value) AS high,
     min(value) AS low, arg_max(value, (ts, value)) AS close, count(value) AS volume
@@ -143,7 +148,7 @@ def _filled(c: str) -> str:
 
 @query("a8_fill_gaps", with_sql(WIDE_SQL) + f"SELECT date, {', '.join(_filled(c) for c in WIDE)} FROM wide")
 def a8(spark: SparkSession, sf: str) -> DataFrame:
-    return bars.fill_gaps(bars.align_wide(bars_hourly(spark, sf), LABELS, FIELDS), WIDE)
+    return bars.fill_gaps(settle(bars.align_wide(bars_hourly(spark, sf), LABELS, FIELDS)), WIDE)
 
 
 @query("a9_close_only", with_sql(WIDE_SQL) + f"SELECT date, {', '.join(f'{k}_close' for k in LABELS)} FROM wide")

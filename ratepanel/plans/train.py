@@ -36,11 +36,15 @@ class TrainConfig:
 
 
 def feature_frame(panel: DataFrame, cfg: Mapping[str, Any], remove_outliers: bool = True) -> DataFrame:
-    """Clean panel with all features; warm-up rows are gone."""
+    """Clean panel with all features; warm-up rows are gone.
+
+    Cross features come first: they join on narrow rows, and the wide feature
+    rows are then not shuffled again.
+    """
     if remove_outliers:
         panel = iqr_filter(panel)
-    df = features.add_features(panel, cfg)
-    return features.drop_warm_up(add_cross(df, cfg["cross_currency"]))
+    df = add_cross(panel, cfg["cross_currency"])
+    return features.drop_warm_up(features.add_features(df, cfg))
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -60,9 +64,10 @@ class Prepared:
 def prepare(panel: DataFrame, cfg: TrainConfig) -> Prepared:
     """Features, target, scaling, encoding and split in one settled frame."""
     target = cfg.features["target"]
-    df = feature_frame(panel, cfg.features, cfg.remove_outliers)
+    # the panel and the feature frame are each read several times
+    df = settle(feature_frame(settle(panel), cfg.features, cfg.remove_outliers))
     df = prep.add_target(df, target["mode"], target["n_steps_ahead"])
-    df = settle(prep.split(df, 1 - cfg.test_ratio, cfg.split_mode))
+    df = prep.split(df, 1 - cfg.test_ratio, cfg.split_mode)
     scaled = [c for c in feature_columns(df) if c != "is_train"]
     seen = df.where("is_train") if cfg.fit_on == "train" else df
     robust = prep.fit_robust(seen, scaled)

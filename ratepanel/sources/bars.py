@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratepanel.operators.layout import fill_backward, fill_forward, open_series
+from ratepanel.operators.layout import fill_forward, open_series
 
 
 def bar_columns(ts: str = "ts", value: str = "value") -> list[Column]:
@@ -52,8 +52,7 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], date: str = "date", key: st
     if key is None:
         df = df.withColumn(series, F.lit(0))
     s, laid = open_series(df, 1, series, date, rows_per_block)
-    laid = fill_forward(s, laid, columns)
-    return s.close(fill_backward(s, laid, columns)).select(*names)
+    return s.close(fill_forward(s, laid, columns, head=True)).select(*names)
 
 
 def close_only(df: DataFrame, date: str = "date", suffix: str = "_close") -> DataFrame:

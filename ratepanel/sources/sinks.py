@@ -91,7 +91,8 @@ class RunStore:
 
     def write_manifest(self, run_id: str, metadata: Mapping[str, Any]) -> None:
         rows = [(run_id, name, json.dumps(value, default=str)) for name, value in metadata.items()]
-        write(self.spark.createDataFrame(rows, "run_id string, name string, value string"), f"{self.path(run_id)}/manifest")
+        table = self.spark.createDataFrame(rows, "run_id string, name string, value string").coalesce(1)
+        write(table, f"{self.path(run_id)}/manifest")
 
     def manifest(self, run_id: str) -> dict[str, Any]:
         rows = self.spark.read.parquet(f"{self.path(run_id)}/manifest").collect()
@@ -99,7 +100,7 @@ class RunStore:
 
     def publish(self, run_id: str, when: datetime.datetime | None = None) -> None:
         when = when or datetime.datetime.now()
-        row = self.spark.createDataFrame([(run_id, when)], "run_id string, finished timestamp")
+        row = self.spark.createDataFrame([(run_id, when)], "run_id string, finished timestamp").coalesce(1)
         write(row, f"{self.base}/runs", mode="append")
 
     def latest(self) -> str:
