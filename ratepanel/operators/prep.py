@@ -197,15 +197,22 @@ def category_index(df: DataFrame, key: str = "key", out: str = "key_index") -> D
     return with_rank(df.select(key).distinct(), [key], out)
 
 
-def one_hot_vector(df: DataFrame, dimension: DataFrame, key: str = "key", index: str = "key_index", out: str = "key_vec") -> DataFrame:
-    """Sparse one-hot vector without the first category."""
+def one_hot_vector(
+    df: DataFrame, dimension: DataFrame, key: str = "key", index: str = "key_index", out: str = "key_vec"
+) -> DataFrame:
+    """Sparse one-hot vector without the first category.
+
+    A key that ``dimension`` lacks gets the zero vector, like the first one.
+    """
     from pyspark.ml.feature import OneHotEncoder
 
     # the encoder drops the last category, so number downwards
     top = dimension.agg(F.max(index).alias("_top"))
     flipped = dimension.join(F.broadcast(top)).select(key, (F.col("_top") - F.col(index)).cast("double").alias("_cat"))
     encoder = OneHotEncoder(inputCol="_cat", outputCol=out, dropLast=True).fit(flipped)
-    return encoder.transform(df.join(flipped, key)).drop("_cat")
+    known = df.join(flipped, key, "left").join(F.broadcast(top))
+    known = known.withColumn("_cat", F.coalesce("_cat", F.col("_top").cast("double"))).drop("_top")
+    return encoder.transform(known).drop("_cat")
 
 
 # --- splits -----------------------------------------------------------------

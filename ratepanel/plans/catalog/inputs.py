@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import datetime
 import uuid
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratepanel.functions.dates import parse_mixed_date
 from ratepanel.operators import clean, metrics, prep
+from ratepanel.operators.models import assemble
 from ratepanel.plans import panels
-from ratepanel.plans.catalog.registry import BASE, PANEL, RAW, W0, base_preds, query, r, rounded, rs, with_sql
+from ratepanel.plans.catalog.registry import BASE, PANEL, RAW, base_preds, base_rows, query, r, rounded, rs, with_sql
 from ratepanel.session import settle, shared_folder
 from ratepanel.sources import bars, rates, sinks, symbols
 
@@ -195,8 +197,6 @@ def a11_hourly(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(BASE) + f"SELECT key, CAST(date AS VARCHAR) AS date, {r('rate')}, {r('SMA_5', 'predicted_rate')} FROM placed",
 )
 def a12(spark: SparkSession, sf: str) -> DataFrame:
-    from ratepanel.plans.catalog.registry import base_rows
-
     path = scratch(spark, "predictions")
     sinks.write_predictions(base_rows(spark, sf).withColumn("predicted_rate", F.col("SMA_5")), path)
     back = spark.read.option("header", True).csv(path)
@@ -239,31 +239,32 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sinks.load_params(spark, base))
 
 
-@query("a15_versioned_runs")
-def a15(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs of a small linear model; the newer one is the latest."""
-    import datetime
+OLS = """sums AS (
+  SELECT var_pop(lag_1) AS a, covar_pop(lag_1, SMA_5) AS b, var_pop(SMA_5) AS c, covar_pop(lag_1, rate) AS t1,
+    covar_pop(SMA_5, rate) AS t2 FROM placed
+), ols AS (SELECT (c * t1 - b * t2) / (a * c - b * b) AS w1, (a * t2 - b * t1) / (a * c - b * b) AS w2 FROM sums)"""
 
-    from pyspark.ml.regression import LinearRegression
-
-    from ratepanel.operators.models import assemble
-    from ratepanel.plans.catalog.registry import base_rows
 
+@query(
+    "a15_versioned_runs",
+    with_sql(BASE, OLS)
+    + f"SELECT 'run_20240101_120001' AS run_id, '0.0' AS reg, {r('w1', 'w_lag_1')}, {r('w2', 'w_sma_5')} FROM ols",
+)
+def a15(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of a small linear model; the newer one is the latest."""
     store = sinks.RunStore(spark, scratch(spark, "runs"))
-    rows = assemble(base_rows(spark, sf), ["lag_1", "SMA_5"])
-    for i, reg in enumerate((0.0, 0.1)):
-        when = datetime.datetime(2024, 1, 1, 12, 0, i)
+    rows = settle(assemble(base_rows(spark, sf), ["lag_1", "SMA_5"]).select("rate", "features"))
+    for second, reg in enumerate((0.1, 0.0)):
+        when = datetime.datetime(2024, 1, 1, 12, 0, second)
         run_id = sinks.make_run_id(when)
-        model = LinearRegression(labelCol="rate", regParam=reg).fit(rows)
+        model = LinearRegression(labelCol="rate", regParam=reg, solver="normal").fit(rows)
         store.save_model(model, "linear", run_id)
         store.write_manifest(run_id, {"reg": reg, "columns": ["lag_1", "SMA_5"]})
         store.publish(run_id, when)
     newest = store.latest()
     weights = store.load_model("linear", newest).coefficients
-    return spark.createDataFrame(
-        [(newest, str(store.manifest(newest)["reg"]), float(weights[0]), float(weights[1]))],
-        "run_id string, reg string, w_lag_1 double, w_sma_5 double",
-    )
+    found = (newest, str(store.manifest(newest)["reg"]), float(weights[0]), float(weights[1]))
+    return rounded(spark.createDataFrame([found], "run_id string, reg string, w_lag_1 double, w_sma_5 double"))
 
 
 @query(

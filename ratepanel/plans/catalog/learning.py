@@ -147,10 +147,32 @@ def f10_bagged(spark: SparkSession, sf: str) -> DataFrame:
     return models.spread(models.sample_predictions(rows, fitted, ["key", "date"]), ["key", "date"])
 
 
-@query("g2_out_of_fold_linear")
+# least squares on two inputs, refitted before each fold
+REFIT = """shifted AS (
+  SELECT *, lead(rate) OVER (PARTITION BY key ORDER BY date) AS target FROM base WHERE lag_1 IS NOT NULL
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY key, date) - 1 AS at, count(*) OVER () AS m FROM shifted WHERE target IS NOT NULL
+), marked AS (
+  SELECT *, CASE WHEN at >= m - 5 * (m // 6) THEN CAST((at - (m - 5 * (m // 6))) // (m // 6) AS INTEGER) END AS fold FROM numbered
+), sums AS (
+  SELECT f.fold, var_pop(lag_1) AS a, covar_pop(lag_1, SMA_5) AS b, var_pop(SMA_5) AS c, covar_pop(lag_1, target) AS t1,
+    covar_pop(SMA_5, target) AS t2, avg(lag_1) AS m1, avg(SMA_5) AS m2, avg(target) AS my
+  FROM range(0, 5) AS f(fold) JOIN marked ON coalesce(marked.fold, -1) < f.fold GROUP BY f.fold
+), fitted AS (
+  SELECT fold, w1, w2, my - w1 * m1 - w2 * m2 AS w0 FROM (
+    SELECT *, (c * t1 - b * t2) / (a * c - b * b) AS w1, (a * t2 - b * t1) / (a * c - b * b) AS w2 FROM sums)
+)"""
+
+
+@query(
+    "g2_out_of_fold_linear",
+    with_sql(BASE, REFIT)
+    + f"""SELECT at AS pos, key, date, marked.fold, 'linear' AS model, {r('target', 'y')}, {r('w0 + w1 * lag_1 + w2 * SMA_5', 'pred')}
+    FROM marked JOIN fitted ON fitted.fold = marked.fold""",
+)
 def g2_linear(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold predictions with a refit per fold."""
     rows = prep.add_target(base_rows(spark, sf), "n_step_ahead")
-    rows = settle(with_position(models.assemble(rows, INPUTS).select("key", "date", "target", "features")))
+    rows = settle(with_position(models.assemble(rows, ["lag_1", "SMA_5"]).select("key", "date", "target", "features")))
     trainers = {"linear": models.mllib_trainer(models.preset("linear"))}
-    return stack.oof(rows, trainers, 5, ids=["key", "date"])
+    return rounded(stack.oof(rows, trainers, 5, ids=["key", "date"]))

@@ -9,7 +9,7 @@ from ratepanel.operators import features
 from ratepanel.operators.stack import Ridge
 from ratepanel.plans import panels, score, train
 from ratepanel.plans.catalog.inputs import scratch
-from ratepanel.plans.catalog.registry import BASE, BASE_KEY, base_rows, query, with_sql
+from ratepanel.plans.catalog.registry import BASE, BASE_KEY, base_rows, ema_sql, query, rounded, rs, with_sql
 from ratepanel.sources.sinks import RunStore
 from ratepanel.streaming.bars import bars_stream
 from ratepanel.streaming.ema import ema_stream
@@ -129,11 +129,19 @@ def i7(spark: SparkSession, sf: str) -> DataFrame:
     return back.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
-@query("i8_stream_ema")
+@query(
+    "i8_stream_ema",
+    with_sql(
+        "points AS (SELECT event_type AS key, ts AS date, avg(value) AS rate FROM events GROUP BY 1, 2)",
+        ema_sql("points", "rate", {"EMA_5": 5, "EMA_26": 26}),
+    )
+    + f"SELECT key, date, {rs(['rate', 'EMA_5', 'EMA_26'])} FROM ema",
+)
 def i8(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch(spark, "stream")
     sink = BatchTable(f"{base}/out")
     stream = event_stream(spark, sf).withColumnsRenamed({"ts": "date", "value": "rate"})
     spans = {"EMA_5": 5, "EMA_26": 26}
     run_all(ema_stream(stream, spans, BatchTable(f"{base}/state"), sink, f"{base}/check"))
-    return sink.read_all(spark, "key string, date timestamp, rate double, EMA_5 double, EMA_26 double")
+    out = sink.read_all(spark, "key string, date timestamp, rate double, EMA_5 double, EMA_26 double")
+    return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")))

@@ -14,7 +14,7 @@ from ratepanel.operators.layout import open_series
 from ratepanel.operators.stack import Ridge
 from ratepanel.plans.train import feature_frame
 from ratepanel.sources.rates import split_valid
-from ratepanel.sources.sinks import KEY_SCALERS, TARGET_SCALER, RunStore, load_params
+from ratepanel.sources.sinks import CATEGORIES, KEY_SCALERS, TARGET_SCALER, RunStore, load_params
 
 STACKING = "stacking"
 DIGITS = 6
@@ -29,6 +29,7 @@ class Run:
     manifest: dict[str, Any]
     robust: DataFrame
     target_range: DataFrame
+    keys: DataFrame
     base_models: dict[str, Model]
 
     @property
@@ -50,6 +51,7 @@ def load_run(store: RunStore, run_id: str | None = None) -> Run:
         manifest,
         load_params(store.spark, base, KEY_SCALERS),
         load_params(store.spark, base, TARGET_SCALER),
+        load_params(store.spark, base, CATEGORIES),
         {name: store.load_model(name, run_id) for name in manifest["presets"]},
     )
 
@@ -68,7 +70,7 @@ def score_features(df: DataFrame, run: Run, model: str = STACKING) -> DataFrame:
     choose(run, model)
     manifest = run.manifest
     rows = prep.apply_robust(df, run.robust, manifest["scaled"])
-    rows = models.assemble(prep.one_hot(rows, manifest["keys"]), manifest["columns"])
+    rows = models.assemble(prep.one_hot_vector(rows, run.keys), manifest["columns"])
     needed = run.meta.columns if model == STACKING else (model,)
     for name in needed:
         rows = run.base_models[name].transform(rows).withColumnRenamed("pred", name)

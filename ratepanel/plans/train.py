@@ -14,9 +14,10 @@ from ratepanel.operators.clean import iqr_filter
 from ratepanel.operators.cross import add_cross
 from ratepanel.operators.layout import with_position
 from ratepanel.session import settle
-from ratepanel.sources.sinks import KEY_SCALERS, TARGET_SCALER, RunStore, save_params, write_results
+from ratepanel.sources.sinks import CATEGORIES, KEY_SCALERS, TARGET_SCALER, RunStore, save_params, write_results
 
 KEYS = ("key", "date", "rate", "target")
+KEY_VECTOR = "key_vec"
 
 
 @dataclass
@@ -56,7 +57,7 @@ class Prepared:
     rows: DataFrame
     columns: list[str]
     scaled: list[str]
-    keys: list[Any]
+    keys: DataFrame
     robust: DataFrame
     target_range: DataFrame
 
@@ -72,11 +73,10 @@ def prepare(panel: DataFrame, cfg: TrainConfig) -> Prepared:
     seen = df.where("is_train") if cfg.fit_on == "train" else df
     robust = prep.fit_robust(seen, scaled)
     target_range = prep.fit_minmax(seen, ["target"])
-    keys = prep.categories(df)
-    rows = prep.apply_robust(df, robust, scaled)
-    rows = prep.one_hot(rows, keys).withColumn("y_true", F.col("target"))
-    rows = prep.apply_minmax(rows, target_range, ["target"])
-    columns = scaled + [f"key_{k}" for k in keys[1:]]
+    keys = prep.category_index(df)
+    rows = prep.apply_robust(df, robust, scaled).withColumn("y_true", F.col("target"))
+    rows = prep.apply_minmax(prep.one_hot_vector(rows, keys), target_range, ["target"])
+    columns = [*scaled, KEY_VECTOR]
     rows = models.assemble(rows, columns).select("key", "date", "rate", "y_true", "target", "is_train", "features")
     return Prepared(rows, columns, scaled, keys, robust, target_range)
 
@@ -119,6 +119,7 @@ def train_run(panel: DataFrame, store: RunStore, run_id: str, cfg: TrainConfig |
     base = store.path(run_id)
     save_params(ready.robust, base, KEY_SCALERS)
     save_params(ready.target_range, base, TARGET_SCALER)
+    save_params(ready.keys, base, CATEGORIES)
     write_results(table, base)
     store.log_metrics(run_id, table)
     store.write_manifest(
@@ -126,7 +127,6 @@ def train_run(panel: DataFrame, store: RunStore, run_id: str, cfg: TrainConfig |
         {
             "columns": ready.columns,
             "scaled": ready.scaled,
-            "keys": ready.keys,
             "presets": list(cfg.presets),
             "features": cfg.features,
             "meta": {"columns": learner.columns, "weights": learner.weights, "intercept": learner.intercept},

@@ -14,11 +14,6 @@ from ratepanel.streaming.state import BatchTable
 HISTORY_SCHEMA = "key string, date date, rate double"
 
 
-def recent_history(history: DataFrame, batch: DataFrame, rows: int) -> DataFrame:
-    """The newest ``rows`` rates of the keys in the batch."""
-    return tail_per_key(history.join(batch.select("key").distinct(), "key", "left_semi"), rows)
-
-
 def score_stream(
     stream: DataFrame,
     run: Run,
@@ -29,20 +24,20 @@ def score_stream(
 ) -> DataStreamWriter:
     """A stream writer that scores (key, date, rate) rows batch by batch.
 
-    ``history`` is the rates table by batch; the rows of a batch are added to
-    it, and each batch reads only the folders of earlier batches.
+    ``history`` keeps, per key, as many rates as a feature can look back; it is
+    written anew by every batch, so it grows with the keys and not with time.
     """
     need = look_back(run.manifest["features"]) + 1
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("key", "date", "rate").groupBy("key", "date").agg(F.avg("rate").alias("rate")).persist()
-        past = spark.createDataFrame([], HISTORY_SCHEMA)
-        for earlier in range(batch_id):
-            past = past.unionByName(history.read(spark, earlier, HISTORY_SCHEMA))
-        scored = score_batch(rows, run, model, recent_history(past, rows, need))
+        rows = batch.groupBy("key", "date").agg(F.avg("rate").alias("rate")).persist()
+        past = history.read(batch.sparkSession, batch_id - 1, HISTORY_SCHEMA)
+        known = past.join(rows.select("key").distinct(), "key", "left_semi")
+        scored = score_batch(rows, run, model, known)
         sink.write(project(scored), batch_id)
-        history.write(rows, batch_id)
+        # a rate that is sent again replaces the stored one
+        kept = past.join(rows.select("key", "date"), ["key", "date"], "left_anti")
+        history.write(tail_per_key(kept.unionByName(rows.select("key", "date", "rate")), need), batch_id)
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
