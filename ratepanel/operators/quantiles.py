@@ -65,15 +65,16 @@ def select_quantiles(
     slack = 2.0 / accuracy
 
     def bracket(column: str, prob: float) -> list[Column]:
-        # a sketch quantile is off by at most 1/accuracy of the group
-        def edge(p: float) -> Column:
-            if p <= 0.0:
-                return F.min(column)
-            if p >= 1.0:
-                return F.max(column)
-            return F.percentile_approx(column, F.lit(p), F.lit(accuracy))
-
-        return [edge(prob - slack), edge(prob + slack)]
+        # a sketch quantile is off by at most 1/accuracy of the group; below
+        # accuracy rows that is less than one row, and the whole group is taken
+        few = F.count(column) <= accuracy
+
+        def edge(p: float, end: Column) -> Column:
+            if not 0.0 < p < 1.0:
+                return end
+            return F.when(few, end).otherwise(F.percentile_approx(column, F.lit(p), F.lit(accuracy)))
+
+        return [edge(prob - slack, F.min(column)), edge(prob + slack, F.max(column))]
 
     sketch: list[Column] = []
     for i, name in enumerate(names):

@@ -151,9 +151,9 @@ def f10_bagged(spark: SparkSession, sf: str) -> DataFrame:
 REFIT = """shifted AS (
   SELECT *, lead(rate) OVER (PARTITION BY key ORDER BY date) AS target FROM base WHERE lag_1 IS NOT NULL
 ), numbered AS (
-  SELECT *, row_number() OVER (ORDER BY key, date) - 1 AS at, count(*) OVER () AS m FROM shifted WHERE target IS NOT NULL
+  SELECT *, row_number() OVER (ORDER BY key, date) - 1 AS place, count(*) OVER () AS m FROM shifted WHERE target IS NOT NULL
 ), marked AS (
-  SELECT *, CASE WHEN at >= m - 5 * (m // 6) THEN CAST((at - (m - 5 * (m // 6))) // (m // 6) AS INTEGER) END AS fold FROM numbered
+  SELECT *, CASE WHEN place >= m - 5 * (m // 6) THEN CAST((place - (m - 5 * (m // 6))) // (m // 6) AS INTEGER) END AS fold FROM numbered
 ), sums AS (
   SELECT f.fold, var_pop(lag_1) AS a, covar_pop(lag_1, SMA_5) AS b, var_pop(SMA_5) AS c, covar_pop(lag_1, target) AS t1,
     covar_pop(SMA_5, target) AS t2, avg(lag_1) AS m1, avg(SMA_5) AS m2, avg(target) AS my
@@ -167,7 +167,7 @@ REFIT = """shifted AS (
 @query(
     "g2_out_of_fold_linear",
     with_sql(BASE, REFIT)
-    + f"""SELECT at AS pos, key, date, marked.fold, 'linear' AS model, {r('target', 'y')}, {r('w0 + w1 * lag_1 + w2 * SMA_5', 'pred')}
+    + f"""SELECT place AS pos, key, date, marked.fold, 'linear' AS model, {r('target', 'y')}, {r('w0 + w1 * lag_1 + w2 * SMA_5', 'pred')}
     FROM marked JOIN fitted ON fitted.fold = marked.fold""",
 )
 def g2_linear(spark: SparkSession, sf: str) -> DataFrame:
