@@ -45,6 +45,15 @@ def calendar(df: DataFrame, date: str = "date") -> DataFrame:
     return with_rank(dates, [date], INDEX)
 
 
+def per_date(side: DataFrame, df: DataFrame, date: str) -> DataFrame:
+    """The side of a join that has one row per date.
+
+    Over a calendar it is bounded (a century has 37 thousand days), and sending
+    it to the rows saves shuffling them by date. Timestamps have no such bound.
+    """
+    return F.broadcast(side) if is_calendar(df, date) else side
+
+
 def _calendar_blocks(df: DataFrame, halo: int, rows_per_block: int) -> DataFrame:
     home = F.floor(F.col(INDEX) / rows_per_block)
     reach = F.floor((F.col(INDEX) + halo) / rows_per_block)
@@ -74,7 +83,7 @@ def calendar_returns(
     Dense: those zero rows are written out as well.
     """
     days = calendar(df, date)
-    rows = daily_mean(df, key, date, rate).join(days, date)
+    rows = daily_mean(df, key, date, rate).join(per_date(days, df, date), date)
     blocked = _calendar_blocks(rows, 1, rows_per_block)
     found = (
         blocked.withColumn(out, _return_on_calendar([key], rate)).where(OWN).select(key, INDEX, out)
@@ -95,7 +104,7 @@ def calendar_returns(
             .select(key, INDEX)
         )
         found = grid.join(found, [key, INDEX], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
-    return found.join(days, INDEX).select(key, date, out)
+    return found.join(per_date(days, df, date), INDEX).select(key, date, out)
 
 
 def top_keys(df: DataFrame, n: int = 5, key: str = "key") -> DataFrame:
@@ -134,7 +143,8 @@ def merge_index(
 ) -> DataFrame:
     """Index joined by date and filled forward inside each key, and the rate
     relative to it."""
-    s, laid = open_series(df.join(index, date, "left"), 1, key, date, rows_per_block)
+    joined = df.join(per_date(index, df, date), date, "left")
+    s, laid = open_series(joined, 1, key, date, rows_per_block)
     filled = s.close(fill_forward(s, laid, [out]))
     return filled.withColumn("rate_vs_index", ratio(F.col(rate), F.col(out)))
 
@@ -159,7 +169,7 @@ def rolling_corr(
     if min_periods is None:
         min_periods = max(5, window // 3)
     days = calendar(df, date)
-    rows = daily_mean(df, key, date, rate).join(days, date)
+    rows = daily_mean(df, key, date, rate).join(per_date(days, df, date), date)
 
     # base returns and their window sums on every calendar row
     base_rows = days.join(rows.where(F.col(key) == F.lit(base)).select(INDEX, F.col(rate).alias("_rate")), INDEX, "left")
@@ -182,7 +192,7 @@ def rolling_corr(
     x, y = F.col("_x"), F.col("_y")
     n = F.least(F.col(INDEX) + 1, F.lit(window)).cast("double")
     sums = (
-        _calendar_blocks(rows.join(base_side, INDEX), window, rows_per_block)
+        _calendar_blocks(rows.join(per_date(base_side, df, date), INDEX), window, rows_per_block)
         .withColumn("_x", _return_on_calendar([key], rate))
         .withColumn("_sx", F.sum(x).over(keyed))
         .withColumn("_sxx", F.sum(x * x).over(keyed))

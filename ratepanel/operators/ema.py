@@ -80,13 +80,13 @@ def ema_columns(
         j = F.col(ROW) % length
         in_run = (
             Window.partitionBy(*s.parts, run)
-            .orderBy(*s.order)
+            .orderBy(s.date)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         # (run, date) order is date order; written so, both windows share a sort
         earlier = (
             Window.partitionBy(*s.parts)
-            .orderBy(run, *s.order)
+            .orderBy(run, s.date)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         local: dict[str, Column] = {}

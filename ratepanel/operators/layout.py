@@ -57,7 +57,7 @@ class Series:
     """Window specs over the laid-out frame."""
 
     key: str
-    order: tuple[str, ...]
+    date: str
     split: bool = False
 
     @property
@@ -65,7 +65,7 @@ class Series:
         return [self.key, BLOCK] if self.split else [self.key]
 
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.parts).orderBy(*self.order)
+        return Window.partitionBy(*self.parts).orderBy(self.date)
 
     def last(self, n: int) -> WindowSpec:
         """The current row and the ``n - 1`` rows before it."""
@@ -74,9 +74,6 @@ class Series:
     def so_far(self) -> WindowSpec:
         return self.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def before(self) -> WindowSpec:
-        return self.ordered().rowsBetween(Window.unboundedPreceding, -1)
-
     def own(self) -> Column:
         return F.col(OWN) if self.split else F.lit(True)
 
@@ -101,7 +98,7 @@ def open_series(
     """
     if rows_per_block is None:
         if is_calendar(df, date):
-            return Series(key, (date,)), df
+            return Series(key, date), df
         rows_per_block = ROWS_PER_BLOCK
     df = df.withColumn(SLICE, time_slice(df, date))
     per_key = Window.partitionBy(key)
@@ -126,7 +123,7 @@ def open_series(
         .withColumn(OWN, F.coalesce(F.col(BLOCK) == F.col("_home"), F.lit(True)))
         .drop(SLICE, "_home", "_reach")
     )
-    return Series(key, (date,), split=True), df
+    return Series(key, date, split=True), df
 
 
 def running_sum(s: Series, df: DataFrame, value: str, out: str) -> DataFrame:
@@ -156,7 +153,7 @@ def fill_forward(s: Series, df: DataFrame, columns: Sequence[str], head: bool =
             seen = {c: F.coalesce(v, F.first(c, ignorenulls=True).over(whole)) for c, v in seen.items()}
         return df.withColumns(seen)
     # the newest and oldest value of every block, then of the blocks around it
-    when = {c: F.when(F.col(c).isNotNull(), F.struct(*s.order)) for c in columns}
+    when = {c: F.when(F.col(c).isNotNull(), F.col(s.date)) for c in columns}
     ends = [F.max_by(c, when[c]).alias(f"_new_{c}") for c in columns]
     ends += [F.min_by(c, when[c]).alias(f"_old_{c}") for c in columns] if head else []
     per_key = Window.partitionBy(s.key).orderBy(BLOCK)

@@ -18,6 +18,12 @@ from ratepanel.sources.sinks import CATEGORIES, KEY_SCALERS, TARGET_SCALER, RunS
 
 STACKING = "stacking"
 DIGITS = 6
+RETURN_MODES = ("log_return", "pct_change")
+
+# columns that pass through scoring untouched
+CARRIED = ("input_pos",)
+NEW = "_is_new"
+PREVIOUS = "_prev_rate"
 
 
 @dataclass
@@ -76,7 +82,7 @@ def score_features(df: DataFrame, run: Run, model: str = STACKING) -> DataFrame:
         rows = run.base_models[name].transform(rows).withColumnRenamed("pred", name)
     rows = run.meta.predict(rows) if model == STACKING else rows.withColumn("pred", F.col(model))
     rows = prep.invert_minmax(rows, run.target_range, "pred", "target")
-    keep = [c for c in df.columns if c in ("key", "date", "rate", "input_pos", "is_new", "_prev_rate")]
+    keep = [c for c in df.columns if c in ("key", "date", "rate", NEW, PREVIOUS, *CARRIED)]
     return rows.select(*keep, "pred")
 
 
@@ -94,23 +100,22 @@ def score_batch(
     averages but is not scored, so short requests lose no rows.
     """
     choose(run, model)
-    good, _ = split_valid(panel)
     cfg = run.manifest["features"]
-    good = good.withColumn("is_new", F.lit(True))
+    rows, _ = split_valid(panel)
+    rows = rows.select("key", "date", "rate", *[c for c in CARRIED if c in panel.columns])
+    rows = rows.withColumn(NEW, F.lit(True))
     if history is not None:
-        earlier = history.select("key", "date", "rate").join(good.select("key", "date"), ["key", "date"], "left_anti")
-        good = good.unionByName(earlier.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
-    rows = good.select("key", "date", "rate")
-    df = feature_frame(rows, cfg, remove_outliers)
+        earlier = history.select("key", "date", "rate").join(rows.select("key", "date"), ["key", "date"], "left_anti")
+        rows = rows.unionByName(earlier.withColumn(NEW, F.lit(False)), allowMissingColumns=True)
     mode = cfg["target"]["mode"]
-    if mode in ("log_return", "pct_change"):
-        s, df = open_series(df, 1, rows_per_block=rows_per_block)
-        df = s.close(df.withColumn("_prev_rate", F.lag("rate").over(s.ordered())))
-    carried = [c for c in good.columns if c in ("is_new", "input_pos")]
-    scored = score_features(df, run, model).join(good.select("key", "date", *carried), ["key", "date"])
-    previous = F.col("_prev_rate") if "_prev_rate" in scored.columns else F.col("rate")
-    scored = scored.withColumn("predicted_rate", prep.to_rate(mode, F.col("pred"), previous))
-    return scored.where("is_new").drop("pred", "_prev_rate", "is_new")
+    if mode in RETURN_MODES:
+        columns = rows.columns
+        s, laid = open_series(rows, 1, rows_per_block=rows_per_block)
+        rows = s.close(laid.withColumn(PREVIOUS, F.lag("rate").over(s.ordered()))).select(*columns, PREVIOUS)
+    ready = feature_frame(rows, cfg, remove_outliers).where(NEW)
+    previous = F.col(PREVIOUS if mode in RETURN_MODES else "rate")
+    scored = score_features(ready, run, model)
+    return scored.withColumn("predicted_rate", prep.to_rate(mode, F.col("pred"), previous)).drop("pred", PREVIOUS, NEW)
 
 
 def project(df: DataFrame, digits: int = DIGITS) -> DataFrame:

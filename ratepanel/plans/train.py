@@ -44,8 +44,8 @@ def feature_frame(panel: DataFrame, cfg: Mapping[str, Any], remove_outliers: boo
     """
     if remove_outliers:
         panel = iqr_filter(panel)
-    df = add_cross(panel, cfg["cross_currency"])
-    return features.drop_warm_up(features.add_features(df, cfg))
+    df = features.add_features(add_cross(panel, cfg["cross_currency"]), cfg)
+    return features.drop_warm_up(df, [c for c in df.columns if c not in panel.columns])
 
 
 def feature_columns(df: DataFrame) -> list[str]:

@@ -11,13 +11,16 @@ from ratepanel.operators.layout import fill_forward, open_series
 
 
 def bar_columns(ts: str = "ts", value: str = "value") -> list[Column]:
-    """Open, high, low, close and tick count; equal times in value order."""
-    tick = F.struct(F.col(ts), F.col(value))
+    """Open, high, low, close and tick count.
+
+    Buffers of fixed width, so that ticks are hashed into bars and never
+    sorted. Of several ticks at the very first or last instant any one counts.
+    """
     return [
-        F.min(tick)[value].alias("open"),
+        F.min_by(value, ts).alias("open"),
         F.max(value).alias("high"),
         F.min(value).alias("low"),
-        F.max(tick)[value].alias("close"),
+        F.max_by(value, ts).alias("close"),
         F.count(value).alias("volume"),
     ]
 
@@ -62,9 +65,8 @@ def close_only(df: DataFrame, date: str = "date", suffix: str = "_close") -> Dat
 
 def latest_per_key(df: DataFrame, key: str = "key", date: str = "date") -> DataFrame:
     """The newest row of each key, merged before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(date)).alias("_row"))
-    return newest.select(key, "_row.*")
+    rest = [F.max_by(c, date).alias(c) for c in df.columns if c not in (key, date)]
+    return df.groupBy(key).agg(F.max(date).alias(date), *rest).select(*df.columns)
 
 
 def tail_per_key(df: DataFrame, n: int, key: str = "key", date: str = "date") -> DataFrame:

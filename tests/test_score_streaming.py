@@ -144,3 +144,18 @@ def test_stream_bars_wait_for_the_watermark(spark, tmp_path):
     writer.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out").collect()
     assert [(r["open"], r["close"], r["volume"]) for r in out] == [(1.0, 2.0, 2)]
+
+
+def test_return_targets_come_back_as_rates(spark, panel, tmp_path):
+    rng = np.random.default_rng(4)
+    walk = lambda start: start * np.exp(rng.normal(0.001, 0.01, 60).cumsum())
+    df = panel({"A": walk(1.0), "B": walk(150.0)})
+    cfg = features.config({**CFG.features, "target": {"mode": "log_return"}})
+    store = RunStore(spark, str(tmp_path / "runs"))
+    train.train_run(df, store, "run_r", train.TrainConfig(cfg, presets=("linear",), validation=False, remove_outliers=False))
+    out = score.score_batch(df, score.load_run(store), "linear").toPandas().sort_values(["key", "date"])
+    # the return of the row itself is a function of the features, so rates come back closely
+    for key, scale in (("A", 1.0), ("B", 150.0)):
+        part = out[out["key"] == key]
+        assert len(part) == 58
+        np.testing.assert_allclose(part["predicted_rate"], part["rate"], atol=0.05 * scale)
