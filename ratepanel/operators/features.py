@@ -229,6 +229,59 @@ def add_features(
     return s.close(df).select(*columns, *names)
 
 
+# --- one group at a time ----------------------------------------------------
+
+
+def _group(df: DataFrame, groups: Sequence[str], settings: Mapping[str, Mapping[str, Any]], options: Any) -> DataFrame:
+    return add_features(df, only(*groups, **settings), **options)
+
+
+def sma(df: DataFrame, windows: Sequence[int] = (5, 10, 20, 50), **options: Any) -> DataFrame:
+    return _group(df, ["moving_averages"], {"moving_averages": {"sma_windows": windows, "ema_windows": []}}, options)
+
+
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, **options: Any) -> DataFrame:
+    return _group(df, ["macd"], {"macd": {"fast": fast, "slow": slow, "signal": signal}}, options)
+
+
+def rsi(df: DataFrame, period: int = 14, **options: Any) -> DataFrame:
+    return _group(df, ["rsi"], {"rsi": {"period": period}}, options)
+
+
+def stoch_rsi(df: DataFrame, period: int = 14, rsi_period: int = 14, **options: Any) -> DataFrame:
+    settings = {"rsi": {"period": rsi_period}, "stoch_rsi": {"period": period}}
+    return _group(df, ["rsi", "stoch_rsi"], settings, options)
+
+
+def williams(df: DataFrame, period: int = 14, **options: Any) -> DataFrame:
+    return _group(df, ["williams_r"], {"williams_r": {"period": period}}, options)
+
+
+def bollinger(df: DataFrame, window: int = 20, std_dev: float = 2, **options: Any) -> DataFrame:
+    return _group(df, ["bollinger_bands"], {"bollinger_bands": {"window": window, "std_dev": std_dev}}, options)
+
+
+def atr(df: DataFrame, **options: Any) -> DataFrame:
+    return _group(df, ["atr"], {}, options)
+
+
+def obv(df: DataFrame, **options: Any) -> DataFrame:
+    return _group(df, ["obv"], {}, options)
+
+
+def returns(df: DataFrame, vol_windows: Sequence[int] = (5, 20), **options: Any) -> DataFrame:
+    """Log return, relative change and their rolling deviations."""
+    return _group(df, ["returns_volatility"], {"returns_volatility": {"vol_windows": vol_windows}}, options)
+
+
+def lags(df: DataFrame, periods: Sequence[int] = (1, 2, 3, 5, 10), fill: str = "ffill", **options: Any) -> DataFrame:
+    return _group(df, ["lags"], {"lags": {"periods": periods, "fill_method": fill}}, options)
+
+
+def calendar(df: DataFrame, parts: Sequence[str] = CALENDAR_PARTS, **options: Any) -> DataFrame:
+    return _group(df, ["calendar"], {"calendar": {"features": parts}}, options)
+
+
 def legacy_features(df: DataFrame, **options: Any) -> DataFrame:
     return add_features(df, legacy_config(), **options).drop(*LEGACY_OMITS)
 

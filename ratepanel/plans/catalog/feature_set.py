@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,9 @@ SMA_WINDOWS = (5, 10, 20, 50)
 LAGS = (1, 2, 3, 5, 10)
 
 
-def one_group(spark: SparkSession, sf: str, group: str, **settings: Any) -> DataFrame:
-    """The orders panel with one feature group of the configuration."""
-    cfg = features.only(group, **{group: settings} if settings else {})
-    return rounded(features.add_features(panels.panel_orders(spark, sf), cfg))
+def on_orders(spark: SparkSession, sf: str, operator: Callable[..., DataFrame], **settings: Any) -> DataFrame:
+    """One operator on the orders panel."""
+    return rounded(operator(panels.panel_orders(spark, sf), **settings))
 
 
 def feature_sql(*columns: str, source: str = "panel", ctes: tuple[str, ...] = (PANEL,)) -> str:
@@ -44,7 +44,7 @@ SMAS = [r(f"avg(rate) OVER {last(w)}", f"SMA_{w}") for w in SMA_WINDOWS]
 
 @query("c1_sma", feature_sql(*SMAS))
 def c1(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "moving_averages", ema_windows=[])
+    return on_orders(spark, sf, features.sma)
 
 
 EMAS = ema_sql("panel", "rate", {"EMA_5": 5, "EMA_12": 12, "EMA_26": 26})
@@ -57,13 +57,12 @@ def c2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c2_ema_supplier",
-    f"""WITH panel AS (SELECT CAST(l_suppkey AS VARCHAR) AS key, CAST(l_shipdate AS DATE) AS date,
-      avg(l_extendedprice / 100003e0) AS rate FROM lineitem GROUP BY 1, 2),
-    lists AS (SELECT key, list(rate ORDER BY date) AS l, list(date ORDER BY date) AS d FROM panel GROUP BY key),
-    scanned AS (SELECT key, d[i] AS date,
-      list_reduce(list_prepend(l[greatest(1, i - 600)], l[greatest(1, i - 600):i]), lambda a, v: (2e0/27) * v + (1 - 2e0/27) * a) AS EMA_26
-      FROM lists, unnest(range(1, len(l) + 1)) AS t(i))
-    SELECT key, date, {r('EMA_26')} FROM scanned""",
+    with_sql(
+        "panel AS (SELECT CAST(l_suppkey AS VARCHAR) AS key, CAST(l_shipdate AS DATE) AS date, "
+        "avg(l_extendedprice / 100003e0) AS rate FROM lineitem GROUP BY 1, 2)",
+        ema_sql("panel", "rate", {"EMA_26": 26}),
+    )
+    + f"SELECT key, date, {rs(['EMA_26'])} FROM ema",
 )
 def c2_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ema(panels.panel_supplier(spark, sf), "rate", {"EMA_26": 26}).drop("rate"))
@@ -79,17 +78,17 @@ MACD = (
 
 @query("c3_macd", feature_sql(rs(["MACD"]), source="macd", ctes=MACD[:3]))
 def c3(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "macd").drop("MACD_signal", "MACD_hist")
+    return on_orders(spark, sf, features.macd).drop("MACD_signal", "MACD_hist")
 
 
 @query("c4_macd_signal", feature_sql(rs(["MACD_signal"]), source="signal", ctes=MACD))
 def c4(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "macd").drop("MACD", "MACD_hist")
+    return on_orders(spark, sf, features.macd).drop("MACD", "MACD_hist")
 
 
 @query("c5_macd_hist", feature_sql(r("MACD - MACD_signal", "MACD_hist"), source="signal", ctes=MACD))
 def c5(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "macd").drop("MACD", "MACD_signal")
+    return on_orders(spark, sf, features.macd).drop("MACD", "MACD_signal")
 
 
 STEPS = f"""steps AS (SELECT *, rate - lag(rate) OVER {W0} AS d FROM panel)"""
@@ -103,12 +102,12 @@ STOCH = f"""(RSI - min(RSI) OVER {last(14)}) / (max(RSI) OVER {last(14)} - min(R
 
 @query("c6_rsi", feature_sql(rs(["RSI"]), source="rsi", ctes=(PANEL, STEPS, RSI)))
 def c6(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "rsi")
+    return on_orders(spark, sf, features.rsi)
 
 
 @query("c7_stoch_rsi", feature_sql(r(STOCH, "StochRSI", 4), source="rsi", ctes=(PANEL, STEPS, RSI)))
 def c7(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.add_features(panels.panel_orders(spark, sf), features.only("rsi", "stoch_rsi"))
+    out = features.stoch_rsi(panels.panel_orders(spark, sf))
     return out.select("key", "date", F.round("rate", 6).alias("rate"), F.round("StochRSI", 4).alias("StochRSI"))
 
 
@@ -119,7 +118,7 @@ WILLIAMS = (
 
 @query("c8_williams_r", feature_sql(r(WILLIAMS, "WilliamsR")))
 def c8(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "williams_r")
+    return on_orders(spark, sf, features.williams)
 
 
 BANDS = f"""bands AS (
@@ -135,7 +134,7 @@ BAND_COLUMNS = [
 
 @query("c9_bollinger", feature_sql(*BAND_COLUMNS, source="bands", ctes=(PANEL, BANDS)))
 def c9(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "bollinger_bands")
+    return on_orders(spark, sf, features.bollinger)
 
 
 def priced_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +153,7 @@ ATR = f"""ranges AS (
     with_sql(PRICED, ATR) + f"SELECT key, date, {r('close')}, {r('ATR')}, {r('ATR / (rate + 1e-10)', 'ATR_pct', 4)} FROM atr",
 )
 def c10(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.add_features(priced_bars(spark, sf), features.only("atr"))
+    out = features.atr(priced_bars(spark, sf))
     # a close of 0 puts the ratio at 1e10 and beyond, where only its leading digits are meant
     return out.select("key", "date", F.round("close", 6).alias("close"), F.round("ATR", 6).alias("ATR"), F.round("ATR_pct", 4).alias("ATR_pct"))
 
@@ -165,7 +164,7 @@ def c10(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT key, date, CAST(sum(flow) OVER (PARTITION BY key ORDER BY date ROWS UNBOUNDED PRECEDING) AS DOUBLE) + 0.0 AS OBV FROM flows",
 )
 def c11(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.add_features(priced_bars(spark, sf), features.only("obv"))
+    out = features.obv(priced_bars(spark, sf))
     return out.select("key", "date", F.round("OBV", 6).alias("OBV"))
 
 
@@ -181,7 +180,7 @@ VOLS = f"""vols AS (
 
 
 def returns_of(spark: SparkSession, sf: str, *names: str) -> DataFrame:
-    return one_group(spark, sf, "returns_volatility").select("key", "date", "rate", *names)
+    return on_orders(spark, sf, features.returns).select("key", "date", "rate", *names)
 
 
 @query("c12_log_return", feature_sql(rs(["log_return"]), source="returns", ctes=(PANEL, RETURNS)))
@@ -213,12 +212,12 @@ BACK_FILLED = [r(f"coalesce(lag(rate, {k}) OVER {W0}, first_value(rate) OVER {W0
 
 @query("c16_lags_ffill", feature_sql(*LAG_COLUMNS))
 def c16(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "lags")
+    return on_orders(spark, sf, features.lags)
 
 
 @query("c17_lags_bfill", feature_sql(*BACK_FILLED))
 def c17(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "lags", fill_method="bfill")
+    return on_orders(spark, sf, features.lags, fill="bfill")
 
 
 CALENDAR = [
@@ -231,7 +230,7 @@ CALENDAR = [
 
 @query("c18_calendar", feature_sql(*CALENDAR))
 def c18(spark: SparkSession, sf: str) -> DataFrame:
-    return one_group(spark, sf, "calendar")
+    return on_orders(spark, sf, features.calendar)
 
 
 ALL_CTES = (
@@ -270,6 +269,19 @@ def c19(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.withColumn("StochRSI", F.round("StochRSI", 4)))
 
 
+SUPPLIERS = """panel AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS key, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / 100003e0) AS rate
+  FROM lineitem GROUP BY 1, 2
+)"""
+
+
+@query("c19_feature_set_supplier", feature_sql(*ALL_COLUMNS, source="bands", ctes=(SUPPLIERS, *ALL_CTES[1:])))
+def c19_supplier(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole set on the panel with many keys."""
+    out = features.add_features(panels.panel_supplier(spark, sf))
+    return rounded(out.withColumn("StochRSI", F.round("StochRSI", 4)))
+
+
 LEGACY_COLUMNS = [
     *SMAS,
     rs(["EMA_5", "EMA_12", "EMA_26", "MACD", "MACD_signal"]),
@@ -393,6 +405,15 @@ def d7(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cross.rolling_corr(panels.panel_orders(spark, sf), BASE_KEY))
 
 
+@query(
+    "d7_rolling_corr_supplier",
+    with_sql(SUPPLIERS, GRID, CORR.replace(BASE_KEY, "1"))
+    + f"SELECT key, date, {r('corr')} FROM corrs WHERE rate IS NOT NULL",
+)
+def d7_supplier(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(cross.rolling_corr(panels.panel_supplier(spark, sf), "1", out="corr"))
+
+
 @query(
     "d8_cross_features",
     with_sql(PANEL, GRID, CORR, INDEX, MERGED)
