@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratepanel.operators.quantiles import MAX_GROUP_ROWS, quantiles
+from ratepanel.operators.quantiles import MAX_GROUP_VALUES, quantiles
 
 
 def with_fences(
@@ -14,11 +14,11 @@ def with_fences(
     by_key: bool = True,
     key: str = "key",
     rate: str = "rate",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_values: int = MAX_GROUP_VALUES,
 ) -> DataFrame:
     """Add ``_low`` and ``_high``, the inclusive fences of each row's group."""
     by = [key] if by_key else []
-    hinge = quantiles(df, {"_q1": (rate, 0.25), "_q3": (rate, 0.75)}, by, max_group_rows)
+    hinge = quantiles(df, {"_q1": (rate, 0.25), "_q3": (rate, 0.75)}, by, max_group_values)
     reach = (F.col("_q3") - F.col("_q1")) * F.lit(m)
     fences = hinge.select(*by, (F.col("_q1") - reach).alias("_low"), (F.col("_q3") + reach).alias("_high"))
     # global fences are one aggregate row; per-key fences are left to AQE,
@@ -36,10 +36,10 @@ def iqr_filter(
     by_key: bool = True,
     key: str = "key",
     rate: str = "rate",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_values: int = MAX_GROUP_VALUES,
 ) -> DataFrame:
     """Keep rows within ``m`` interquartile ranges of the hinges."""
-    fenced = with_fences(df, m, by_key, key, rate, max_group_rows)
+    fenced = with_fences(df, m, by_key, key, rate, max_group_values)
     return fenced.where(inside_fences(rate)).select(*df.columns)
 
 

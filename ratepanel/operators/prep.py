@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ratepanel.functions import indicators as ind
 from ratepanel.operators.layout import BLOCK, OWN, is_calendar, open_series, position_blocks, with_position, with_rank
-from ratepanel.operators.quantiles import MAX_GROUP_ROWS, quantiles
+from ratepanel.operators.quantiles import MAX_GROUP_VALUES, quantiles
 
 # Target modes.
 TARGET_MODES = ("raw_rate", "log_return", "pct_change", "n_step_ahead")
@@ -76,7 +76,7 @@ def fit_robust(
     columns: Sequence[str],
     by_key: bool = True,
     key: str = "key",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_values: int = MAX_GROUP_VALUES,
 ) -> DataFrame:
     """Median and interquartile range as rows (key, feature, center, scale).
 
@@ -86,7 +86,7 @@ def fit_robust(
     wanted = {
         f"_{i}_{q}": (c, prob) for i, c in enumerate(columns) for q, prob in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
     }
-    solved = quantiles(df, wanted, by, max_group_rows)
+    solved = quantiles(df, wanted, by, max_group_values)
     width = lambda i: F.col(f"_{i}_q3") - F.col(f"_{i}_q1")
     rows = F.array(
         *[

@@ -9,13 +9,17 @@ a bracket are ranked. The answer is exact either way.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GROUP_ROWS = 1_000_000
+# values of a group that ``percentile`` may hold, over all columns
+MAX_GROUP_VALUES = 4_000_000
 ACCURACY = 10_000
+# outputs that one selection pass works on; each needs a dozen aggregates
+OUTPUTS_PER_PASS = 12
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -27,15 +31,15 @@ def quantiles(
     df: DataFrame,
     outputs: Mapping[str, tuple[str, float]],
     by: Sequence[str] = (),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_values: int = MAX_GROUP_VALUES,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group; ``outputs`` maps a name to (column, probability)."""
-    if largest_group(df, by) <= max_group_rows:
+    columns: dict[str, list[tuple[str, float]]] = {}
+    for name, (column, prob) in outputs.items():
+        columns.setdefault(column, []).append((name, prob))
+    if largest_group(df, by) * len(columns) <= max_group_values:
         # one buffer per column, whatever the number of its probabilities
-        columns: dict[str, list[tuple[str, float]]] = {}
-        for name, (column, prob) in outputs.items():
-            columns.setdefault(column, []).append((name, prob))
         exact = [
             F.percentile(column, F.array(*[F.lit(prob) for _, prob in wanted])).alias(f"_p{i}")
             for i, (column, wanted) in enumerate(columns.items())
@@ -47,7 +51,10 @@ def quantiles(
             for k, (name, _) in enumerate(wanted)
         ]
         return solved.select(*by, *picked)
-    return select_quantiles(df, outputs, by, accuracy)
+    names = list(outputs)
+    passes = [names[i : i + OUTPUTS_PER_PASS] for i in range(0, len(names), OUTPUTS_PER_PASS)]
+    found = [select_quantiles(df, {name: outputs[name] for name in part}, by, accuracy) for part in passes]
+    return functools.reduce(lambda a, b: _attach(a, b, by), found)
 
 
 def _attach(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ def kept(df, key):
 @pytest.mark.parametrize("limit", [10**6, 10])
 def test_outliers_go_and_keys_are_apart(panel, limit):
     df = panel({"USD": list(range(1, 51)), "EUR": [*range(1, 51), 99_999]})
-    out = clean.iqr_filter(df, max_group_rows=limit)
+    out = clean.iqr_filter(df, max_group_values=limit)
     assert kept(out, "USD") == list(range(1, 51))
     assert kept(out, "EUR") == list(range(1, 51))
     report = {r["key"]: (r["kept"], r["dropped"]) for r in clean.iqr_report(df).collect()}

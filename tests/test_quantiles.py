@@ -51,10 +51,20 @@ def test_large_groups_take_the_selection(spark):
     df = spark.range(1000).selectExpr("id % 2 AS key", "CAST(id AS double) AS x")
     assert largest_group(df, ["key"]) == 500
     small = quantiles(df, wanted(), ["key"]).orderBy("key").collect()
-    large = quantiles(df, wanted(), ["key"], max_group_rows=10).orderBy("key").collect()
+    large = quantiles(df, wanted(), ["key"], max_group_values=10).orderBy("key").collect()
     assert [r.asDict() for r in small] == [r.asDict() for r in large]
 
 
 def test_nulls_are_skipped(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (None,)], "x double")
     assert select_quantiles(df, {"m": ("x", 0.5)}).first()["m"] == 2.0
+
+
+def test_many_outputs_take_several_passes(spark):
+    df = spark.range(200).selectExpr("id % 2 AS key", *[f"CAST((id * {i + 3}) % 97 AS double) AS c{i}" for i in range(5)])
+    outputs = {f"{c}_{n}": (c, p) for c in [f"c{i}" for i in range(5)] for n, p in PROBS.items()}
+    small = quantiles(df, outputs, ["key"]).orderBy("key").collect()
+    large = quantiles(df, outputs, ["key"], max_group_values=10).orderBy("key").collect()
+    assert [r.asDict() for r in small] == [r.asDict() for r in large]
+    whole = quantiles(df, outputs, max_group_values=10).first().asDict()
+    assert whole == quantiles(df, outputs).first().asDict()
