@@ -217,7 +217,8 @@ def exchange(unit_counts: np.ndarray, own: int, bigrams: np.ndarray) -> int:
     inside = np.diag(bigrams)
     gain = as_first.sum(axis=1) - np.diag(as_first) + as_second.sum(axis=0) - np.diag(as_second)
     gain += x_log_x(inside + after + before + itself) - np.diag(now)
-    rows, columns = bigrams.sum(axis=1), bigrams.sum(axis=0)
+    # Class sizes without the unit; its neighbours' own tokens remain.
+    rows, columns = bigrams.sum(axis=1) + before, bigrams.sum(axis=0) + after
     gain -= x_log_x(rows + out) - x_log_x(rows) + x_log_x(columns + into) - x_log_x(columns)
     best = int(gain.argmax())
     best = own if gain[own] >= gain[best] else best

@@ -18,7 +18,9 @@ class answers with its ``k + 1`` smallest ids, enough for any query.
 Defined results: vectors that are null or hold nulls or non-finite components, and rows
 without an id, take no part. Vectors of different lengths are compared over their common
 components, an empty one scores 0. Components and scores outside 64 bits stop at
-the limits. A row repeated with its id is another row: it answers, and asks, on its own.
+the limits; where components are so large that sums of slices could, the cutoff stays off
+and every entry is resolved. A row repeated with its id is another row: it answers, and
+asks, on its own.
 """
 
 from __future__ import annotations
@@ -211,34 +213,43 @@ def best_classes(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query, cls, total``: for each of ``queries`` (``cls, ints``) the ``k`` best of ``classes``, ties to smaller ``cls``."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     rows = settle(row_blocks(classes))
-    none = F.lit(LOWEST).cast("long")
+    none, safe = F.lit(LOWEST).cast("long"), fits(classes)
 
     lists = gathered(met(rows, query_blocks(queries.withColumn("cutoff", none), blocks), blocks), k)
     seen = settle(resolved(lists.select("query", "cls").distinct(), classes))
-    cutoffs = settle(kth_best(seen, k))
+    cutoffs = settle(kth_best(seen if safe else seen.limit(0), k))
 
     asked = queries.join(cutoffs, queries["cls"] == cutoffs["query"], "left")
     asked = asked.select("cls", "ints", F.coalesce("kth", none).alias("cutoff"))
     entries = collected(met(rows, query_blocks(asked, blocks), blocks))
-    big = "decimal(38,0)"
+    if not safe:
+        return best_totals(resolved(entries.select("query", "cls").distinct(), classes), k)
     known = settle(
-        entries.groupBy("query", "cls").agg(F.sum(F.col("score").cast(big)).alias("known"), F.count(F.lit(1)).alias("slices"))
+        entries.groupBy("query", "cls").agg(F.sum("score").alias("known"), F.count(F.lit(1)).alias("slices"))
     )
     whole = known.where(F.col("slices") == SLICES).select("query", "cls", F.col("known").alias("total"))
     raised = kth_best(whole, k).withColumnRenamed("kth", "raised")
     bound = known.join(cutoffs, "query", "left").join(raised, "query", "left")
-    threshold = F.coalesce("kth", none).cast(big)
-    most = F.col("known") * SLICES + (SLICES - F.col("slices")) * threshold
-    left = bound.where(
-        (F.col("slices") < SLICES) & (most >= F.coalesce(F.greatest("kth", "raised"), "kth", none).cast(big) * SLICES)
-    )
-    limits = [F.lit(x).cast(big) for x in (LOWEST, HIGHEST)]
-    totals = whole.select("query", "cls", F.least(F.greatest("total", limits[0]), limits[1]).cast("long").alias("total"))
-    totals = totals.unionByName(resolved(left.select("query", "cls"), classes))
+    # Without a cutoff all slices are known.
+    most = F.col("known") * SLICES + (SLICES - F.col("slices")) * F.col("kth")
+    left = bound.where((F.col("slices") < SLICES) & (most >= F.greatest("kth", "raised") * SLICES))
+    return best_totals(whole.unionByName(resolved(left.select("query", "cls"), classes)), k)
+
+
+def best_totals(totals: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query").orderBy(F.col("total").desc(), "cls")
     return totals.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
+def fits(classes: DataFrame) -> bool:
+    """Whether scores and their bounds stay within 64 bits."""
+    low, high, width = classes.agg(
+        F.min(F.array_min("ints")).cast("double"), F.max(F.array_max("ints")).cast("double"), F.max(F.size("ints"))
+    ).first()
+    top = max(abs(low or 0.0), abs(high or 0.0))
+    return top * top * (width or 0) * (2 * SLICES + 2) < 2.0**63
+
+
 def top_k(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``asks`` holds."""
     usual = vectors.where(F.col(id).isNotNull() & usable(F.col(embedding)))
