@@ -12,8 +12,9 @@ Documents are range-partitioned and sorted by doc_id; each partition becomes one
 A reader finds the table from the file's last nine bytes and decompresses only frames
 that hold what it was asked for, checking each. Any zstandard tool reads the plain ids.
 
-A text is encoded word by word, each distinct word once: the pre-tokenizer never joins
-across a single space before a non-space, so this equals encoding it whole.
+A text is encoded word by word, each distinct word once for some chunks of text: the
+pre-tokenizer never joins across a single space before a non-space, a line break between
+words, or from letters to marks, so this equals encoding it whole.
 
 Files are written through ``pyarrow.fs`` into the shared folder under names of their
 own for each task attempt; the manifest that Spark commits names the attempts that count, so
@@ -25,6 +26,7 @@ first; rows with equal doc_id follow each other in the order of their texts' has
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -48,7 +50,7 @@ from ratepanel.session import settle, shared_folder
 
 FRAME_BYTES = 262_144
 LEVEL = 3
-MEMO = 300_000
+MEMO = 200_000
 END = 2
 
 # Fixed values of the zstandard seekable format.
@@ -57,37 +59,122 @@ SKIPPABLE_TABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 
+MARKS = ".,;:!?*&%$#|()[]{}-+=/"
+
+# Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others,
+# in order, are the characters from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
 UNSAFE = re.compile(r" \s")
+WHITE = re.compile(r"\s")
 BEFORE_WORD = re.compile(r" (?=\S)")
 
 
 class Encoder:
-    """Texts to the bytes of their ids, by a memo of words."""
+    """Texts to the bytes of their ids, by memos of words.
+
+    Holds for byte-level tokenizers that split by the usual pattern, in which letters,
+    digits, other marks and white space never share a token; any other definition encodes
+    texts whole.
+    """
 
     def __init__(self, definition: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        parsed = json.loads(definition)
+        splits = parsed.get("pre_tokenizer") or {}
+        usual = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+        added = [t["content"] for t in parsed.get("added_tokens", [])]
+        apart = all(any(not c.isalpha() and c not in MARKS and not c.isspace() for c in t) for t in added)
+        self.by_word = usual and not parsed.get("normalizer") and apart and not any(WHITE.search(t) for t in added)
+        # Ids of letters, by whether a space comes before: of the last chunks, and of those before them.
+        self.recent: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
+        self.older: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
+        self.others: dict[tuple[bool, str], bytes] = {}
         self.end = struct.pack("<I", end)
+        self.line = self._whole("\n")
 
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
-        if len(memo) > MEMO:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([lead + w for w in new], add_special_tokens=False)):
-            memo[word] = np.array(found.ids, dtype="<u4").tobytes()
+    @classmethod
+    def of_worker(cls, definition: str, end: int) -> Encoder:
+        """The Python worker's own encoder. Workers serve many tasks, whose code comes anew
+        with each, so it is kept with the tokenizers module, which stays."""
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("_encoders", {})
+        key = (xxhash.xxh64_intdigest(definition), end)
+        if key not in kept:
+            kept[key] = cls(definition, end)
+        return kept[key]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _letters(self, word: str, spaced: bool) -> bytes:
+        """Letters alone are one piece for the model, which takes bytes as characters of its alphabet."""
+        ids = self.recent[spaced].get(word)
+        if ids is None:
+            ids = self.older[spaced].get(word)
+            if ids is None:
+                piece = (" " + word if spaced else word).encode().decode("latin-1").translate(ALPHABET)
+                found = [t.id for t in self.model.tokenize(piece)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self.recent[spaced][word] = ids
+        return ids
+
+    def _other(self, word: str, spaced: bool) -> bytes:
+        ids = self.others.get((spaced, word))
+        if ids is None:
+            if len(self.others) > MEMO:
+                self.others.clear()
+            ids = self.others[spaced, word] = self._whole(" " + word if spaced else word)
+        return ids
+
+    def _word(self, word: str, spaced: bool) -> bytes:
+        """A word without white space: its letters and the marks after them, if it is no more than that."""
+        letters = word.rstrip(MARKS)
+        if not letters.isalpha():
+            return self._other(word, spaced)
+        ids = self._letters(letters, spaced)
+        return ids if len(letters) == len(word) else ids + self._other(word[len(letters) :], False)
+
+    def _odd(self, word: str, spaced: bool) -> bytes:
+        """A word that may hold white space."""
+        if WHITE.search(word) is None:
+            return self._word(word, spaced)
+        lines = word.split("\n")
+        if all(lines) and not any(map(WHITE.search, lines)):
+            return self.line.join([self._word(x, spaced and not i) for i, x in enumerate(lines)])
+        return self._other(word, spaced)
+
+    def _known(self, words: set[str], spaced: bool) -> dict[str, bytes]:
+        for kind in (True, False):
+            if len(self.recent[kind]) > MEMO:
+                self.older[kind], self.recent[kind] = self.recent[kind], {}
+        recent, marks, out = self.recent[spaced].get, {"": b""}, {}
+        for word in words:
+            letters = word.rstrip(MARKS)
+            ids = recent(letters)
+            if ids is None:
+                out[word] = self._odd(word, spaced)
+            else:
+                after = word[len(letters) :]
+                more = marks.get(after)
+                if more is None:
+                    more = marks[after] = self._other(after, False)
+                out[word] = ids + more
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self._whole(t) + self.end for t in texts]
         split = [t.split(" ") if not UNSAFE.search(t) else BEFORE_WORD.split(t) for t in texts]
-        firsts = {words[0] for words in split}
-        laters = set(chain.from_iterable(split))
-        self._learn(self.first, firsts, "")
-        self._learn(self.later, laters, " ")
-        later = self.later.__getitem__
-        return [b"".join((self.first[words[0]], *map(later, words[1:]), self.end)) for words in split]
+        first = self._known({words[0] for words in split}, False)
+        later = self._known(set(chain.from_iterable(words[1:] for words in split)), True).__getitem__
+        return [b"".join((first[words[0]], *map(later, words[1:]), self.end)) for words in split]
 
 
 class Writer:
@@ -215,7 +302,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                     system, path = location(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path, compression=None)
-                    writer, encoder = Writer(out), Encoder(definition.value, end)
+                    writer, encoder = Writer(out), Encoder.of_worker(definition.value, end)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                     writer.add(doc_id, ids)

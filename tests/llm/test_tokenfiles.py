@@ -42,7 +42,7 @@ def test_round_trip(which, odd_docs, odd_rows, some_docs, some_rows, tokenizer):
 
 @pytest.mark.parametrize(
     "text",
-    ["", " ", "  ", "a  b", " lead", "trail ", "a \n b", "a\n\n  b c", "it's  we'll", "x  y", "x  y", "\x1c a \x1c b", "tab\t tab", "<|endoftext|> a <|endoftext|>", "é à ñ 日本 語", "1 2  3 4.5"],
+    ["", " ", "  ", "a  b", " lead", "trail ", "a \n b", "a\n\n  b c", "it's  we'll", "x  y", "x  y", "\x1c a \x1c b", "tab\t tab", "<|endoftext|> a <|endoftext|>", "é à ñ 日本 語", "1 2  3 4.5", "a,b. c!! d** (e) 'f', g's. h'.", "x.\ny, z\n\nw \nv\n u", "...", "a\n", "\na b", "5% 6$ ²., x²,", "a…, b」."],
 )
 def test_words_encode_as_the_whole(text, tokenizer):
     with open(PATH, encoding="utf-8") as source:
@@ -91,3 +91,22 @@ def test_damage_is_found():
 
 def test_no_rows(no_docs):
     assert tokenfiles.read_files(tokenfiles.write_files(no_docs, PATH)).count() == 0
+
+
+def test_random_texts_encode_as_the_whole(tokenizer):
+    with open(PATH, encoding="utf-8") as source:
+        encoder = tokenfiles.Encoder(source.read())
+    rng = np.random.default_rng(7)
+    letters = list("abtheIN019 ,.!?*&%$#|'\"-()<>\n\t \u00a0éñß語😀_²Ⅷ") + [" ", " the", " is", "'s", "<|endoftext|>", "\r\n", "\x1c", "  "]
+    texts = ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 60, 3000)]
+    whole = tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, ids, found in zip(texts, encoder.encode(texts), whole):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == found.ids + [2], repr(text)
+
+
+def test_other_definitions_encode_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as source:
+        encoder = tokenfiles.Encoder(source.read())
+    ids = np.frombuffer(encoder.encode(["Hello  World, again"])[0], dtype="<u4")
+    assert ids.tolist() == Tokenizer.from_file(path).encode("Hello  World, again", add_special_tokens=False).ids + [2]
