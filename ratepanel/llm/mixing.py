@@ -157,7 +157,14 @@ def rounded(items: DataFrame, bucket: int = BUCKET, seed: int = SEED) -> DataFra
         depth += 1
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, bucket: int = BUCKET, seed: int = SEED):
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    bucket: int = BUCKET,
+    seed: int = SEED,
+) -> tuple[DataFrame, DataFrame]:
     """Items with their copies, and the sources with their targets."""
     rows = docs.select("doc_id", text_key().alias("text_hash"), "source", n_words().alias("size"))
     items = settle(rows.groupBy(*KEY, "size").agg(F.count(F.lit(1)).alias("rows")))
@@ -203,7 +210,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.col("_copies")
     if not chosen.where(F.col("_rows") > 1).isEmpty():
         place = unused(docs, "_place")
-        found = found.withColumn(place, F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy(*[F.col(c) for c in docs.columns])))
+        repeats = Window.partitionBy("_id", "_hash", "_source").orderBy(*[docs[c] for c in docs.columns])
+        found = found.withColumn(place, F.row_number().over(repeats))
         copies = F.floor(copies / F.col("_rows")) + (F.col(place) <= copies % F.col("_rows")).cast("long")
     again = F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))
     return found.select(*[docs[c] for c in docs.columns], again.alias(unused(docs, "_copy"))).select(*docs.columns)

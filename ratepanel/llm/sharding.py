@@ -112,7 +112,12 @@ def placed(docs: DataFrame, keep: list[Column], shards: int = SHARDS, slots: int
     slot_map = SlotMap.even(slots, shards)
     slot_map.rebalance(sizes, shards)
     newest = slot_map.table(docs.sparkSession, rows).where(F.col("version") == len(slot_map.versions) - 1)
-    newest = newest.select(F.col("virtual_slot").alias("_slot"), F.col("version").alias("_version"), F.col("shard").alias("_shard"), F.col("before").alias("_before"))
+    newest = newest.select(
+        F.col("virtual_slot").alias("_slot"),
+        F.col("version").alias("_version"),
+        F.col("shard").alias("_shard"),
+        F.col("before").alias("_before"),
+    )
     order = [F.col("doc_id").alias("_order_id"), F.xxhash64("text").alias("_order_hash")]
     keyed = docs.select(*keep, slot_of(slots).alias("_slot"), *order)
     in_slot = F.row_number().over(Window.partitionBy("_slot").orderBy("_order_id", "_order_hash"))

@@ -108,9 +108,11 @@ def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
 
 def met(rows: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
     """Every block of rows with every block of queries, spread by a salt."""
-    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "block"], "block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = [F.col(c).alias(f"q_{c}") for c in queries.columns if c != "block"]
+    asked = queries.select(*named, "block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     salt = F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int").alias("salt")
-    dealt = rows.select("n", "width", "ids", "rows", salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    dealt = rows.select("n", "width", "ids", "rows", salt, F.explode(numbers).alias("block"))
     return dealt.join(asked, ["block", "salt"])
 
 
@@ -253,7 +255,13 @@ def fits(classes: DataFrame) -> bool:
 def top_k(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``asks`` holds."""
     usual = vectors.where(F.col(id).isNotNull() & usable(F.col(embedding)))
-    rows = settle(usual.select(F.col(id).cast("long").alias("vec_id"), integers(F.col(embedding)).alias("ints"), F.coalesce(asks, F.lit(False)).alias("asks")))
+    rows = settle(
+        usual.select(
+            F.col(id).cast("long").alias("vec_id"),
+            integers(F.col(embedding)).alias("ints"),
+            F.coalesce(asks, F.lit(False)).alias("asks"),
+        )
+    )
     classes = settle(
         rows.groupBy("ints").agg(F.min("vec_id").alias("low"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("n"))
     )

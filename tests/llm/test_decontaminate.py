@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from ratepanel.llm import decontaminate as dc
 
-from conftest import prose
+from llm.conftest import prose
 
 
 def brute(docs, items, threshold=dc.THRESHOLD, overlap=dc.OVERLAP):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from ratepanel.llm import substrings
 
-from conftest import prose
+from llm.conftest import prose
 
 
 def brute(rows):
