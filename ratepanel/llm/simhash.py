@@ -8,7 +8,7 @@ under a value are compared over all 64 bits. Two segments with balls of one bit
 (33 look-ups each) keep chance meetings rare up to billions of fingerprints.
 
 Work is done on distinct fingerprints, so copies never multiply. Within a meeting
-place only a spanning forest of the links is emitted, never all pairs; places with
+place linked sets are emitted as stars, never as all pairs; places with
 more than ``crowd`` fingerprints are divided by parts of the other bits, one of
 which must be equal. Components are found by star contraction, written out each round.
 
@@ -126,7 +126,7 @@ def _looked_up(fps: DataFrame, distance: int, segments: int, crowd: int) -> Data
     for number, (low, width) in enumerate(_spans(0, BITS, segments)):
         masks = F.array(*[F.lit(m).cast("long") for m in _balls(width, distance // segments)])
         value = _cut(fp, low, width)
-        seen = F.transform(masks, lambda m, v=value: v.bitwiseXOR(m))
+        seen = F.transform(masks, value.bitwiseXOR)
         tables.append(
             fps.select(F.lit(number).alias("segment"), "fp", F.posexplode(seen).alias("probe", "value")).select(
                 "segment", "value", (F.col("probe") == 0).alias("home"), "fp"
@@ -156,25 +156,25 @@ def _looked_up(fps: DataFrame, distance: int, segments: int, crowd: int) -> Data
     return entries.select(F.xxhash64("segment", "value", "part").alias("key"), "home", "fp")
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected by links of at most ``distance`` bits."""
-    links = []
+def stars(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """For each set that links of at most ``distance`` bits connect, its smallest member with every other."""
+    pairs = []
     left = np.unique(fps)
     while left.size > 1:
-        reached, left = [left[0]], left[1:]
+        low, left = left[0], left[1:]
+        reached = [low]
         while reached and left.size:
-            here = reached.pop()
-            near = np.bitwise_count(left ^ here) <= distance
+            near = np.bitwise_count(left ^ reached.pop()) <= distance
             if near.any():
                 found = left[near]
-                links.extend((here, there) for there in found)
+                pairs.extend((low, member) for member in found)
                 reached.extend(found)
                 left = left[~near]
-    return links
+    return pairs
 
 
 def find_links(fps: DataFrame, distance: int = 3, segments: int = 2, crowd: int = CROWD) -> DataFrame:
-    """``a, b``: links that connect every two of the distinct ``fp`` at most ``distance`` bits apart."""
+    """``a, b``: pairs that connect what links of at most ``distance`` bits between the distinct ``fp`` connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(keys: np.ndarray, home: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -182,7 +182,7 @@ def find_links(fps: DataFrame, distance: int = 3, segments: int = 2, crowd: int
             sizes = np.diff(np.r_[starts, len(keys)])
             pairs: list[tuple[int, int]] = []
             for at in np.flatnonzero((sizes > 1) & np.logical_or.reduceat(home, starts)):
-                pairs += forest(fp[starts[at] : starts[at] + sizes[at]], distance)
+                pairs += stars(fp[starts[at] : starts[at] + sizes[at]], distance)
             ends = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
@@ -254,7 +254,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     named = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     first = found.groupBy("root").agg(F.min(named).alias("first"))
-    ranked = settle(rows.join(first, "root").withColumn("wins", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")).eqNullSafe(F.col("first"))))
+    ranked = settle(rows.join(first, "root").withColumn("wins", named.eqNullSafe(F.col("first"))))
     repeated = ranked.where(F.col("wins") & (F.col("n") > 1))
     if repeated.isEmpty():
         return without(docs, ranked.where(~F.col("wins")))

@@ -63,10 +63,24 @@ def test_links_connect_everything(spark, segments, distance, crowd):
     found = [roots.get(p, p) for p in signed]
     low = groups(points, distance)
     assert all((found[i] == found[j]) == (low[i] == low[j]) for i in range(len(points)) for j in range(i))
-    # no pairs beyond a spanning forest in a meeting place
+    # stars, not all pairs of a meeting place
     assert links.count() < len(points) * segments * 4
 
 
+def test_few_meet_by_chance(spark):
+    """Each fingerprint stands at its own values and at those one bit off, and nowhere else."""
+    rng = np.random.default_rng(9)
+    points = [int(p) for p in rng.integers(0, 2**63, 300, dtype=np.int64)]
+    seen = simhash._looked_up(spark.createDataFrame([(p,) for p in points], "fp long"), 3, 2, 50_000)
+    assert seen.count() == 300 * 66 and seen.where("home").count() == 600
+    assert seen.select("key").distinct().count() == 300 * 66
+    values = [(n, (p >> 32 * n & 0xFFFFFFFF) ^ m) for p in points for n in (0, 1) for m in [0, *(1 << b for b in range(32))]]
+    keys = spark.createDataFrame(values, "segment int, value long").select(
+        F.xxhash64("segment", "value", F.lit(-1).cast("long")).alias("key")
+    )
+    assert seen.join(keys, "key", "left_anti").isEmpty()
+
+
 def test_keep_one(odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
