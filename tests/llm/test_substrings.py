@@ -64,6 +64,14 @@ def test_full_filter_changes_nothing(spark):
     assert digest(df, most_bits=6) == brute(rows)
 
 
+def test_filter_holds_its_keys_and_few_others(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(2**63), 2**63, 2000, dtype=np.int64)
+    filter_ = substrings.bloom(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert substrings.held_by(filter_, keys).all()
+    assert substrings.held_by(filter_, rng.integers(-(2**63), 2**63, 20_000, dtype=np.int64)).mean() < 0.01
+
+
 def test_words_are_hashed_by_content():
     texts = [b"a bb  ccc", b"", b"\t bb a\n", b"x" * 5000 + b" y", b"x" * 5000]
     found, edges = substrings.word_hashes(texts)
