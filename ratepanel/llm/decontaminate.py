@@ -46,6 +46,7 @@ QUESTION_SHINGLE = 5
 ANSWER_SHINGLE = 3
 LEAST = 5
 POSTINGS = 2_000_000
+CELLS = 4_000_000
 K1, B = 1.2, 0.75
 
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -114,8 +115,11 @@ class Index:
     words: dict[bytes, int] = field(default_factory=dict)
     owners: list[int] = field(default_factory=list)
     postings: list[tuple[list[int], list[float]]] = field(default_factory=list)
-    largest: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
-    by_block: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
+    largest: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    block_at: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))
+    block_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    block_most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    by_block: np.ndarray | None = None
     items: list[tuple[int, set, set, int]] = field(default_factory=list)
 
     @classmethod
@@ -137,20 +141,36 @@ class Index:
         for r in rows:
             lists[bytes(r["word"])].append((numbers[r["item"], r["piece"]], r["share"]))
         self.postings.append(([], []))
-        self.largest = np.zeros(len(lists) + 1, dtype=np.float32)
-        self.by_block = np.zeros((len(lists) + 1, -(-len(self.owners) // BLOCK)), dtype=np.float32)
+        blocks: list[list[tuple[int, float]]] = [[]]
         for number, word in enumerate(sorted(lists), start=1):
             self.words[word] = number
             found = sorted(lists[word])
             self.postings.append(([p for p, _ in found], [s for _, s in found]))
+            most: dict[int, float] = {}
             for p, s in found:
-                self.by_block[number, p // BLOCK] = max(self.by_block[number, p // BLOCK], np.float32(s * (1 + 1e-6)))
-            self.largest[number] = self.by_block[number].max()
+                most[p // BLOCK] = max(most.get(p // BLOCK, 0.0), s)
+            blocks.append(sorted(most.items()))
+        self.block_at = np.cumsum([0] + [len(b) for b in blocks])
+        self.block_of = np.array([n for b in blocks for n, _ in b], dtype=np.int64)
+        self.block_most = np.array([s * (1 + 1e-9) for b in blocks for _, s in b])
+        self.largest = np.array([max((s * (1 + 1e-9) for _, s in b), default=0.0) for b in blocks])
+        n_blocks = -(-len(self.owners) // BLOCK)
+        if len(blocks) * n_blocks <= CELLS:
+            self.by_block = np.zeros((len(blocks), n_blocks))
+            self.by_block[np.repeat(np.arange(len(blocks)), np.diff(self.block_at)), self.block_of] = self.block_most
         return self
 
+    def block_bounds(self, terms: np.ndarray) -> np.ndarray:
+        """The most that the terms can score in each block, from a full table if it is small."""
+        if self.by_block is not None:
+            return self.by_block[terms].sum(axis=0)
+        sizes = self.block_at[terms + 1] - self.block_at[terms]
+        at = np.arange(int(sizes.sum())) + np.repeat(self.block_at[terms] - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.block_of[at], weights=self.block_most[at], minlength=1)
+
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Pieces whose score over the distinct ``terms`` is at least ``threshold``, by block-max WAND."""
-        open_blocks = self.by_block[terms].sum(axis=0, dtype=np.float64) >= threshold
+        open_blocks = self.block_bounds(terms) >= threshold
         if not open_blocks.any():
             return []
         found = []
@@ -230,6 +250,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     spark = docs.sparkSession
     postings, named = build_postings(items)
     schema = "doc_id long, text_hash long, item_id long, score double, question_overlap double, answer_overlap double, passages long"
+    names = ["doc_id", "text_hash", "item_id", "score", "question_overlap", "answer_overlap", "passages"]
     rows = identified(docs, F.col("text")).where(F.col("text") != "")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     found = spark.createDataFrame([], schema)
@@ -250,7 +271,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     columns = [batch.column("doc_id").take(at), batch.column("text_hash").take(at)]
                     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                     columns += [pa.array([h[i + 1] for h in hits], kind) for i, kind in enumerate(kinds)]
-                    yield pa.record_batch(columns, ["doc_id", "text_hash", "item_id", "score", "question_overlap", "answer_overlap", "passages"])
+                    yield pa.record_batch(columns, names)
 
         found = found.unionByName(rows.mapInArrow(run, schema))
     return found

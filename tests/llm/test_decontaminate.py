@@ -51,9 +51,12 @@ def test_against_all_pairs(spark, sf, some_docs, some_rows, postings, monkeypatc
     assert len(found) == len(expected)
 
 
-def test_search_matches_scores():
+@pytest.mark.parametrize("cells", [4_000_000, 0])
+def test_search_matches_scores(cells, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(dc, "CELLS", cells)
+
     rng = np.random.default_rng(4)
     rows, share = [], {}
     for piece in range(60):
