@@ -240,7 +240,8 @@ def shared_blocks(rows: DataFrame, shared: np.ndarray, contested: np.ndarray) ->
                 windows = [found.windows(b).tobytes() if o else None for b, o in zip(take, open_)]
                 docs = pa.array(found.text[take])
                 columns = [batch.column("doc_id").take(docs), batch.column("text_hash").take(docs)]
-                columns += [signed(found.anchor[take]), signed(found.content[take]), pa.array(found.first[take]), pa.array(found.size[take])]
+                columns += [signed(found.anchor[take]), signed(found.content[take])]
+                columns += [pa.array(found.first[take]), pa.array(found.size[take])]
                 yield pa.record_batch([*columns, pa.array(windows, pa.binary())], names)
 
     kinds = "doc_id long, text_hash long, anchor long, content long, first long, size long, windows binary"
@@ -273,13 +274,14 @@ def duplicate_spans(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     contested = bloom(index.where("contested").select("anchor"), most_bits)
     blocks = settle(shared_blocks(rows, shared, contested))
     key = ["anchor", "content"]
-    lowest = blocks.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    # Written out, so that the joins below shuffle both sides and hot keys can be split.
+    lowest = settle(blocks.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
     several = lowest.where(F.col("low") < F.col("high")).select(*key, "low")
     factors = blocks.drop("windows").join(several, key).where(F.col("doc_id") > F.col("low"))
     held = blocks.where(F.col("windows").isNotNull()).join(lowest.drop("high"), key).where(F.col("doc_id") == F.col("low"))
     windows = settle(exploded(held))
     first = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    first = first.where(F.col("low") < F.col("high")).drop("high")
+    first = settle(first.where(F.col("low") < F.col("high")).drop("high"))
     checked = windows.join(first, ["anchor", "window"]).where(F.col("doc_id") > F.col("low"))
     spans = factors.select("doc_id", "text_hash", "first", "size")
     return spans.unionByName(checked.select("doc_id", "text_hash", "first", F.lit(1).cast("long").alias("size")))
