@@ -34,6 +34,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,8 @@ KNOWN = 262_144
 ROUNDS = 6
 PRIOR = 50.0
 LONGEST = 64
-BLOCK = 256
+BLOCK = 64
+MERGE = 16
 HELD_WORDS = 500_000
 END = b""
 
@@ -128,7 +130,10 @@ def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
                 columns = [batch.column(c) for c in names[:3]] + [pa.array(units, pa.binary()), pa.array(sums, pa.float64())]
                 yield pa.record_batch([*columns, pa.array(n_known, pa.int64()), pa.array(others, kind)], names)
 
-    schema = "row long, doc_id long, held_out boolean, units binary, log_counts double, n_known long, others array<struct<word: binary, n: int>>"
+    schema = (
+        "row long, doc_id long, held_out boolean, units binary, log_counts double, n_known long, "
+        "others array<struct<word: binary, n: int>>"
+    )
     return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
@@ -153,24 +158,49 @@ def gather(texts: DataFrame, classes: np.ndarray, n_classes: int, end: int) -> D
                 sums += np.bincount(before * width + of[now], minlength=total)
                 sums += np.bincount(now * width + n_classes + of[before], minlength=total)
                 sums += np.bincount(now[now == before] * width + 2 * n_classes, minlength=total)
-        at = np.flatnonzero(sums)
-        edges = np.searchsorted(at, np.arange(0, total + BLOCK * width, BLOCK * width))
-        for block in np.flatnonzero(np.diff(edges)):
-            own = at[edges[block] : edges[block + 1]]
-            places = (own - block * BLOCK * width).astype(np.int32)
-            yield pa.RecordBatch.from_pylist([{"block": int(block), "places": places.tobytes(), "counts": sums[own].tobytes()}])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        edges = range(0, total, BLOCK * width)
+        part = TaskContext.get().partitionId()
+        for block, start in enumerate(edges):
+            own = sums[start : start + BLOCK * width]
+            if own.any():
+                yield sparse(block, part, own)
+
+    def sparse(block: int, part: int, own: np.ndarray) -> pa.RecordBatch:
+        places = np.flatnonzero(own).astype(np.int32)
+        row = {"block": block, "part": part, "places": places.tobytes(), "counts": own[places].tobytes()}
+        return pa.RecordBatch.from_pylist([row])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Sums of the rows of one block and part, which follow each other."""
+        key, own = None, np.zeros(0, dtype=np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                own = sums.setdefault(row["block"], np.zeros(BLOCK * width, dtype=np.int64))
+                if key != (row["block"], row["part"]):
+                    if key:
+                        yield *key, own
+                    key, own = (row["block"], row["part"]), np.zeros(BLOCK * width, dtype=np.int64)
                 own[np.frombuffer(row["places"], dtype=np.int32)] += np.frombuffer(row["counts"], dtype=np.int64)
-        for block, own in sorted(sums.items()):
+        if key:
+            yield *key, own
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part, own in added(batches):
+            yield sparse(block, part, own)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, own in added(batches):
             yield pa.RecordBatch.from_pylist([{"block": block, "counts": own.tobytes()}])
 
-    parts = texts.where(~F.col("held_out")).select("units").mapInArrow(count, "block long, places binary, counts binary")
-    return settle(parts.repartition("block").mapInArrow(add, "block long, counts binary"))
+    schema = "block long, part long, places binary, counts binary"
+    rows = texts.where(~F.col("held_out")).select("units")
+    parts = rows.mapInArrow(count, schema)
+    # A tree, so that no task reads what more than MERGE tasks have counted of a block.
+    left = rows.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // MERGE)
+        parts = parts.withColumn("part", F.floor(F.col("part") / MERGE))
+        parts = parts.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(merge, schema)
+    return settle(parts.mapInArrow(finish, "block long, counts binary"))
 
 
 def class_bigrams(counted: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
