@@ -7,10 +7,12 @@ words, one every ``PIECE`` words, so any piece quoted whole lies in some passage
 passage is a query; block-max WAND returns every piece with a score of ``THRESHOLD`` or
 more: passages whose words' largest shares do not add up to it are done at once, then
 blocks of pieces are ruled out by the words' largest shares in the block, and the
-postings of what is left are walked in order. Pieces found are verified: around the
-passage, at least ``OVERLAP`` of the shingles of the item's question (five words) and of
-its answer (three words) must occur. The answer is what follows the last question mark,
-else the last third of the words.
+postings of what is left are walked in order. Pieces found are verified by the share of
+shingles that occur around the passage, ``OVERLAP`` at least. Where a question mark has words
+on both sides, the last one ends the question, the rest is the answer, and both must reach
+it, the question by shingles of five words, the answer of three. Any other item is one part: its
+shingles, or those of the piece found, must reach it, so a quoted piece is enough. They have
+five words, fewer in parts under fourteen, where one changed word would break over half.
 
 Words are lower-cased; ASCII punctuation separates words. Word statistics come from
 all items. The index goes to the executors in chunks of at most ``POSTINGS`` postings, so
@@ -58,13 +60,12 @@ def plain_words(text: str) -> list[bytes]:
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
+    """An item without a marked answer is all question."""
     head, mark, tail = text.rpartition("?")
     question, answer = plain_words(head), plain_words(tail)
     if mark and question and answer:
         return question, answer
-    words = plain_words(text)
-    cut = len(words) - max(1, len(words) // 3)
-    return words[:cut], words[cut:]
+    return plain_words(text), []
 
 
 def shingles(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
@@ -72,6 +73,15 @@ def shingles(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
+def part_shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """Shingles of which one changed word leaves half."""
+    return shingles(words, max(1, min(QUESTION_SHINGLE, (len(words) + 1) // 3)))
+
+
+def share_of(part: set, around: list[bytes]) -> float:
+    return len(part & shingles_of(around, part)) / len(part) if part else 1.0
+
+
 def cut_pieces(words: list[bytes], longest: int = PIECE) -> list[list[bytes]]:
     parts = -(-len(words) // longest)
     edges = [len(words) * i // parts for i in range(parts + 1)] if parts else [0]
@@ -121,6 +131,7 @@ class Index:
     block_most: np.ndarray = field(default_factory=lambda: np.zeros(0))
     by_block: np.ndarray | None = None
     items: list[tuple[int, set, set, int]] = field(default_factory=list)
+    pieces: list[set | None] = field(default_factory=list)
 
     @classmethod
     def build(cls, rows: list, texts: dict[int, tuple[int, str]]) -> Index:
@@ -128,15 +139,18 @@ class Index:
         self = cls()
         numbers: dict[tuple[int, int], int] = {}
         item_numbers = {item: i for i, item in enumerate(sorted(texts))}
+        parts: dict[int, list[set]] = {}
         for item in sorted(texts):
             item_id, text = texts[item]
             question, answer = question_and_answer(text)
-            self.items.append(
-                (item_id, shingles(question, QUESTION_SHINGLE), shingles(answer, ANSWER_SHINGLE), len(question) + len(answer))
-            )
+            asked = shingles(question, QUESTION_SHINGLE) if answer else part_shingles(question)
+            self.items.append((item_id, asked, shingles(answer, ANSWER_SHINGLE), len(question) + len(answer)))
+            cut = cut_pieces(question)
+            parts[item] = [] if answer or len(cut) == 1 else [part_shingles(words) for words in cut]
         for item, piece in sorted({(r["item"], r["piece"]) for r in rows}):
             numbers[item, piece] = len(self.owners)
             self.owners.append(item_numbers[item])
+            self.pieces.append(parts[item][piece] if parts[item] else None)
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for r in rows:
             lists[bytes(r["word"])].append((numbers[r["item"], r["piece"]], r["share"]))
@@ -207,8 +221,9 @@ class Index:
                 cursors = [c for c in cursors if c[0] >= pivot or advance(c, pivot)]
         return found
 
-    def matches(self, texts: list[str], threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float, int]]:
-        """For each text and item found in it: their places, the best score and overlaps, and the passages."""
+    def matches(self, texts: list[str], threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float | None, int]]:
+        """For each text and item found in it: their places, the best score and overlaps, and the
+        passages. Without a marked answer its overlap is null."""
         split = [plain_words(t) for t in texts]
         sizes = np.array([len(w) for w in split], dtype=np.int64)
         total = int(sizes.sum())
@@ -220,7 +235,7 @@ class Index:
         nth = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
         begins = first[text_of] + nth * PIECE
         ends = np.minimum(begins + 2 * PIECE, first[text_of] + sizes[text_of])
-        best: dict[tuple[int, int], list[float]] = {}
+        best: dict[tuple[int, int], list] = {}
         for at in np.flatnonzero(reach[ends] - reach[begins] >= threshold):
             terms = np.unique(ids[begins[at] : ends[at]])
             for piece, score in self.search(terms[terms > 0], threshold):
@@ -228,12 +243,12 @@ class Index:
                 item_id, question, answer, length = self.items[item]
                 low = max(0, int(begins[at] - first[text]) - length)
                 around = split[text][low : int(ends[at] - first[text]) + length]
-                shares = [
-                    len(part & shingles_of(around, part)) / len(part) if part else 1.0 for part in (question, answer)
-                ]
-                if min(shares) >= overlap:
-                    now = best.setdefault((text, item), [0.0, 0.0, 0.0, 0])
-                    now[:] = max(now[0], score), max(now[1], shares[0]), max(now[2], shares[1]), now[3] + 1
+                asked, answered = share_of(question, around), share_of(answer, around)
+                if self.pieces[piece]:
+                    asked = max(asked, share_of(self.pieces[piece], around))
+                if min(asked, answered) >= overlap:
+                    now = best.setdefault((text, item), [0.0, 0.0, 0.0 if answer else None, 0])
+                    now[:] = max(now[0], score), max(now[1], asked), max(now[2], answered) if answer else None, now[3] + 1
         for (text, item), (score, asked, answered, n) in best.items():
             yield text, self.items[item][0], score, asked, answered, n
 

@@ -95,3 +95,24 @@ def test_changed_case_and_marks_are_found(spark):
     docs = spark.createDataFrame([(1, prose(1, 50) + " " + noise + " " + prose(2, 50)), (2, "where does the river rise " + prose(3, 40))], "doc_id long, text string")
     items = spark.createDataFrame([(5, item)] + [(10 + i, prose(20 + i, 20)) for i in range(20)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, items).collect()} == {(1, 5)}
+
+
+def distinct(seed, n):
+    return [f"w{seed}x{i}" for i in range(n)]
+
+
+def test_partial_and_edited_quotes_of_items_without_answer(spark):
+    """A quote of some of the words, of one piece, or with any one word changed is found."""
+    whole = {1: distinct(1, 59), 2: distinct(2, 200), 3: distinct(3, 14), 4: distinct(4, 8), 5: distinct(5, 10)}
+    asked = distinct(6, 12)
+    items = [(i, " ".join(w)) for i, w in whole.items()] + [(6, " ".join(asked[:8]) + "? " + " ".join(asked[8:]))]
+    quotes = [(1, whole[1][:40]), (1, whole[1][10:50]), (1, whole[1][19:]), (1, whole[1][:29])]
+    quotes += [(2, p) for p in dc.cut_pieces(whole[2])]
+    quotes += [(i, [*whole[i][:at], "other", *whole[i][at + 1 :]]) for i in (3, 4, 5) for at in range(len(whole[i]))]
+    quotes += [(6, asked), (None, asked[:8]), (None, whole[1][5:12]), (None, whole[3][3:7]), (None, [])]
+    docs = [(n, " ".join([*distinct(100, 45), *q, *distinct(200, 30)])) for n, (_, q) in enumerate(quotes)]
+    found = dc.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(n, i) for n, (i, _) in enumerate(quotes) if i}
+    assert all((r["answer_overlap"] is None) == (r["item_id"] != 6) for r in found)
