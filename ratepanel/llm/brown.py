@@ -3,14 +3,19 @@
 P(word | previous) = P(class | previous class) * P(word | class).
 
 Classes come from exchange clustering: every unit moves to the class that raises the
-training text's class-bigram likelihood most. A unit is one of the ``UNITS`` most frequent
-words, or one of ``SLOTS`` slots into which all other words are hashed, so every word has
-a class and the class map is of fixed size however large the vocabulary. A round gathers,
+training text's class-bigram likelihood most. At first a unit is one of the ``UNITS`` most
+frequent words, or one of ``SLOTS`` slots into which all other words are hashed. A round gathers,
 over all training text, how often each unit follows and precedes each class; tasks then
 move their units one after the other against the class-bigram counts, which they keep up
 to date for their own moves. Half of the units may move in a round, the counts are gathered
 anew for the next, and the assignment with the best likelihood is kept.
 
+Then every other word leaves its slot for the class that suits it best, by the same gain
+from its own counts: first those among the ``KNOWN`` most frequent, then, against counts with
+these moved, all the rest. Their counts and the classes of the rest are tables by word,
+as large as the vocabulary; the latter meets the texts in a join. Words that training
+text lacks have the class of their slot.
+
 Both distributions are smoothed: transitions towards class frequencies, words by adding one
 with one further, unknown word in every class. A text ends with an end token, which is
 also what precedes its first word.
@@ -50,6 +55,8 @@ PRIOR = 50.0
 LONGEST = 64
 BLOCK = 64
 MERGE = 16
+TOGETHER = 256
+FEW = 1000
 HELD_WORDS = 500_000
 END = b""
 
@@ -78,7 +85,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Dictionary:
-    """The most frequent words in order, their units and counts."""
+    """The end token and the most frequent words in order, their units and counts."""
 
     words: dict[bytes, int]
     units: np.ndarray
@@ -88,7 +95,8 @@ class Dictionary:
 
     @classmethod
     def of(cls, counted: DataFrame, known: int, n_units: int, n_slots: int) -> Dictionary:
-        top = counted.where(F.length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(known).toArrow()
+        short = counted.where(F.length("word") <= LONGEST)
+        top = short.orderBy((F.length("word") == 0).desc(), F.col("n").desc(), "word").limit(known).toArrow()
         words = top.column("word").to_pylist()
         units = np.array([i if i < n_units else n_units + zlib.crc32(w) % n_slots for i, w in enumerate(words)], dtype=np.uint16)
         return cls({w: i for i, w in enumerate(words)}, units, top.column("n").to_numpy().astype(np.float64), n_units, n_slots)
@@ -100,10 +108,11 @@ class Dictionary:
 
 def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
     """For each row its units with the end, the sum of log10(count + 1) over words of the
-    dictionary, how many they are, and the other words with their numbers."""
+    dictionary, how many they are, the other words with their numbers, and for each token in
+    a slot its word: its place in the dictionary, or -1, -2, ... in the row's other words."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(dictionary))
     kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-    names = ["row", "doc_id", "held_out", "units", "log_counts", "n_known", "others"]
+    names = ["row", "doc_id", "held_out", "units", "log_counts", "n_known", "others", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(**shared.value)
@@ -112,7 +121,7 @@ def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
         end_log = 0.0 if end_at is None else float(logs[end_at])
         for whole in batches:
             for batch in chunks(whole):
-                units, sums, n_known, others = [], [], [], []
+                units, sums, n_known, others, slotted = [], [], [], [], []
                 for text in byte_texts(batch.column("text")):
                     words = text.lower().split()
                     at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
@@ -126,13 +135,17 @@ def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
                     units.append(out.tobytes())
                     sums.append(float(logs[at[inside]].sum()) + end_log)
                     n_known.append(int(inside.sum()) + (end_at is not None))
-                    others.append([{"word": w, "n": n} for w, n in Counter(unknown).items()])
+                    distinct = Counter(unknown)
+                    others.append([{"word": w, "n": n} for w, n in distinct.items()])
+                    number = {w: -i for i, w in enumerate(distinct, start=1)}
+                    at[rest] = [number[w] for w in unknown]
+                    slotted.append(at[out[:-1] >= known.n_units].tobytes())
                 columns = [batch.column(c) for c in names[:3]] + [pa.array(units, pa.binary()), pa.array(sums, pa.float64())]
-                yield pa.record_batch([*columns, pa.array(n_known, pa.int64()), pa.array(others, kind)], names)
+                yield pa.record_batch([*columns, pa.array(n_known, pa.int64()), pa.array(others, kind), pa.array(slotted, pa.binary())], names)
 
     schema = (
         "row long, doc_id long, held_out boolean, units binary, log_counts double, n_known long, "
-        "others array<struct<word: binary, n: int>>"
+        "others array<struct<word: binary, n: int>>, rest binary"
     )
     return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, schema)
 
@@ -300,23 +313,257 @@ def cluster(texts: DataFrame, n_units: int, n_classes: int, end: int, rounds: in
     return best[1], best[2], found
 
 
+# --- words in slots ---------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Classes:
+    """The classes of units and of the dictionary's words."""
+
+    units: np.ndarray
+    words: np.ndarray
+    n_units: int
+    end: int
+
+    def path(self, units: np.ndarray, rest: np.ndarray, others: np.ndarray | None) -> np.ndarray:
+        """The class of each token; ``others`` has those of the row's other words, -1 for none."""
+        of = self.units[units]
+        at = np.flatnonzero(units[:-1] >= self.n_units)
+        known = rest >= 0
+        of[at[known]] = self.words[rest[known]]
+        if others is not None:
+            own = others[-1 - rest[~known]]
+            of[at[~known]] = np.where(own >= 0, own, of[at[~known]])
+        return of
+
+
+def gather_words(texts: DataFrame, model: Classes, n_classes: int, of_others: bool, names: list[bytes]) -> DataFrame:
+    """``word, places, counts``: as ``gather``, for the words in slots that are in the
+    dictionary, or that are not. A word has further rows next to its first."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((vars(model), None if of_others else names))
+    width = 2 * n_classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, names = Classes(**shared.value[0]), shared.value[1]
+        for whole in batches:
+            for batch in chunks(whole, "units"):
+                found = [np.zeros(0, np.int64)]
+                distinct = batch.column("others").value_lengths().to_numpy() if of_others else np.zeros(batch.num_rows, np.int64)
+                begins = np.cumsum(distinct) - distinct
+                for data, rest, begin in zip(batch.column("units").to_pylist(), batch.column("rest").to_pylist(), begins):
+                    units, rest = np.frombuffer(data, np.uint16), np.frombuffer(rest, np.int32)
+                    mine = rest < 0 if of_others else rest >= 0
+                    if not mine.any():
+                        continue
+                    of = model.path(units, rest, None)
+                    at, word = np.flatnonzero(units[:-1] >= model.n_units)[mine], rest[mine].astype(np.int64)
+                    if of_others:
+                        word = begin - 1 - word
+                    before = np.r_[model.end, of[:-1]]
+                    again = (np.diff(at) == 1) & (np.diff(word) == 0)
+                    found += [word * width + of[at + 1], word * width + n_classes + before[at], word[1:][again] * width + 2 * n_classes]
+                keys = np.concatenate(found)
+                if of_others:
+                    coded = batch.column("others").flatten().field("word").dictionary_encode()
+                    keys = coded.indices.to_numpy()[keys // width].astype(np.int64) * width + keys % width
+                keys, n = np.unique(keys, return_counts=True)
+                own, first = np.unique(keys // width, return_index=True)
+                edges = pa.array(np.r_[first, len(keys)].astype(np.int32))
+                places = pa.ListArray.from_arrays(edges, pa.array((keys % width).astype(np.int32)))
+                counts = pa.ListArray.from_arrays(edges, pa.array(n.astype(np.int64)))
+                text = coded.dictionary.take(pa.array(own)) if of_others else pa.array([names[i] for i in own.tolist()], pa.binary())
+                yield pa.record_batch([text, places, counts], ["word", "places", "counts"])
+
+    rows = texts.where(~F.col("held_out")).select("units", "rest", *(["others"] if of_others else []))
+    found = rows.mapInArrow(run, "word binary, places array<int>, counts array<bigint>")
+    return found.repartition("word").sortWithinPartitions("word")
+
+
+def added_words(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Up to ``TOGETHER`` words and their counts from rows of ``gather_words``."""
+    held: tuple[list[bytes], np.ndarray] = ([], np.zeros((0, width)))
+    for batch in batches:
+        words, sizes = batch.column("word").to_pylist(), batch.column("places").value_lengths().to_numpy()
+        places, n = batch.column("places").flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
+        run = np.cumsum([i > 0 and words[i] != words[i - 1] for i in range(len(words))], dtype=np.int64)
+        firsts = np.flatnonzero(np.diff(run, prepend=-1))
+        of = np.repeat(run, sizes)
+        for start in range(0, len(firsts), TOGETHER):
+            names = [words[i] for i in firsts[start : start + TOGETHER]]
+            a, b = np.searchsorted(of, [start, start + len(names)])
+            cells = (of[a:b] - start) * width + places[a:b]
+            counts = np.bincount(cells, weights=n[a:b], minlength=len(names) * width).reshape(len(names), width)
+            if held[0] and held[0][0] == names[0]:
+                counts[0] += held[1][0]
+            elif held[0]:
+                yield held
+            held = names[-1:], counts[-1:].copy()
+            yield names[:-1], counts[:-1]
+    yield held
+
+
+def exchange_many(counts: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The class that suits each unit best if it alone moved; the gains are those of ``exchange``."""
+    n = len(bigrams)
+    units = np.arange(len(counts))
+    after, before, itself = counts[:, :n].astype(float), counts[:, n : 2 * n].astype(float), counts[:, 2 * n].astype(float)
+    out, into = after.sum(axis=1), before.sum(axis=1)
+    inside = np.repeat(np.diag(bigrams)[None], len(counts), axis=0)
+    inside[units, own] -= after[units, own] + before[units, own] - itself
+    np.maximum(inside, 0.0, out=inside)
+    rows, columns = np.repeat(bigrams.sum(axis=1)[None], len(counts), axis=0), np.repeat(bigrams.sum(axis=0)[None], len(counts), axis=0)
+    rows[units, own] -= out
+    columns[units, own] -= into
+    left_after, left_before = after.copy(), before.copy()
+    left_after[units, own] = np.maximum(0.0, after[units, own] - itself)
+    left_before[units, own] = np.maximum(0.0, before[units, own] - itself)
+    gain = np.zeros((len(counts), n))
+    for left, whole, other, matrix in ((left_after, after, before, bigrams.T), (left_before, before, after, bigrams)):
+        unit, to = np.nonzero(left)
+        now = matrix[to].copy()  # by class: the counts of its pairs with ``to``, without the unit's own
+        now[np.arange(len(unit)), own[unit]] -= whole[unit, to]
+        same = np.flatnonzero(to == own[unit])
+        now[same] -= other[unit[same]]
+        now[same, own[unit[same]]] += itself[unit[same]]
+        np.maximum(now, 0.0, out=now)
+        more = x_log_x(now + left[unit, to][:, None]) - x_log_x(now)
+        more[np.arange(len(unit)), to] = 0.0
+        edges = np.searchsorted(unit, units)
+        has = np.diff(np.r_[edges, len(unit)]) > 0
+        if has.any():
+            gain[has] += np.add.reduceat(more, edges[has], axis=0)
+    gain += x_log_x(inside + left_after + left_before + itself[:, None]) - x_log_x(inside)
+    gain -= x_log_x(rows + out[:, None]) - x_log_x(rows) + x_log_x(columns + into[:, None]) - x_log_x(columns)
+    best = gain.argmax(axis=1)
+    return np.where(gain[units, own] >= gain[units, best], own, best)
+
+
+def move_words(counted: DataFrame, dictionary: Dictionary, model: Classes, bigrams: np.ndarray) -> DataFrame:
+    """``word, class`` from ``gather_words``. Words are moved together, against the same counts,
+    as long as they are few and hold under a ``FEW``-th of the tokens."""
+    n_classes = len(bigrams)
+    limit = bigrams.sum() / FEW
+    width = 2 * n_classes + 1
+    shared = counted.sparkSession.sparkContext.broadcast((vars(dictionary), vars(model), bigrams))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model, now = Dictionary(**shared.value[0]), Classes(**shared.value[1]), shared.value[2].copy()
+        for words, found in added_words(batches, width):
+            ends, stop = np.cumsum(found[:, :n_classes].sum(axis=1)), 0
+            own = np.array([model.units[known.unit(w)] if w not in known.words else model.words[known.words[w]] for w in words], np.int64)
+            best = own.copy()
+            while stop < len(words):
+                start, full = stop, (ends[stop - 1] if stop else 0.0) + limit
+                stop = max(start + 1, int(np.searchsorted(ends, full)))
+                counts = found[start:stop]
+                best[start:stop] = exchange_many(counts, own[start:stop], now)
+                for to, sign in ((own[start:stop], -1), (best[start:stop], 1)):
+                    np.add.at(now, to, sign * counts[:, :n_classes])
+                    np.add.at(now.T, to, sign * counts[:, n_classes : 2 * n_classes])
+                np.maximum(now, 0.0, out=now)
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(best.astype(np.int32))], ["word", "class"])
+
+    return counted.mapInArrow(run, "word binary, class int")
+
+
+def with_paths(texts: DataFrame, model: Classes, use: bool) -> DataFrame:
+    """``texts`` with ``path``, the classes of each row's tokens as 16-bit integers; with
+    ``use`` the other words have those in ``classes``, a list of ``at`` and ``class``."""
+    shared = texts.sparkSession.sparkContext.broadcast(vars(model))
+
+    @F.arrow_udf("binary")
+    def run(units: pa.Array, rest: pa.Array, classes: pa.Array) -> pa.Array:
+        model, paths = Classes(**shared.value), []
+        for data, slotted, own in zip(units, rest, classes):
+            words, others = np.frombuffer(slotted.as_py(), np.int32), None
+            if own.is_valid and len(words):
+                others = np.full(max(0, -int(words.min())), -1, dtype=np.int64)
+                others[own.values.field("at").to_numpy()] = own.values.field("class").to_numpy()
+            paths.append(model.path(np.frombuffer(data.as_py(), np.uint16), words, others).astype(np.uint16).tobytes())
+        return pa.array(paths, pa.binary())
+
+    given = F.col("classes") if use else F.lit(None).cast("array<struct<at: int, class: int>>")
+    return texts.withColumn("path", run("units", "rest", given))
+
+
+def path_bigrams(paths: DataFrame, n_classes: int, end: int) -> np.ndarray:
+    """How often each class follows each in the training rows' paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(n_classes * n_classes)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                of = np.frombuffer(path, np.uint16).astype(np.int64)
+                found += np.bincount(np.r_[end, of[:-1]] * n_classes + of, minlength=len(found))
+        yield pa.record_batch([pa.array([found.tobytes()], pa.binary())], ["found"])
+
+    rows = paths.where(~F.col("held_out")).select("path").mapInArrow(run, "found binary").collect()
+    return sum((np.frombuffer(r["found"]) for r in rows), np.zeros(n_classes * n_classes)).reshape(n_classes, n_classes)
+
+
+def settle_words(
+    texts: DataFrame, counted: DataFrame, dictionary: Dictionary, classes: np.ndarray, bigrams: np.ndarray
+) -> tuple[DataFrame, DataFrame, Classes, np.ndarray, list[float]]:
+    """The texts' paths and the learnt words' counts and classes after every word in a slot
+    has moved, the class bigrams, and the likelihood before, between and after. Moves of all
+    words that lower it are not taken."""
+    n_classes, n_units = len(bigrams), dictionary.n_units
+    end, names = int(classes[dictionary.unit(END)]), list(dictionary.words)
+    model = Classes(classes, classes[dictionary.units], n_units, end)
+    found = [likelihood(bigrams)]
+
+    words = model.words.copy()
+    for word, to in move_words(gather_words(texts, model, n_classes, False, names), dictionary, model, bigrams).collect():
+        words[dictionary.words[bytes(word)]] = to
+    moved = Classes(classes, words, n_units, end)
+    after = path_bigrams(with_paths(texts, moved, False), n_classes, end)
+    found.append(likelihood(after))
+    if found[-1] >= found[-2]:
+        model, bigrams = moved, after
+
+    own = settle(move_words(gather_words(texts, model, n_classes, True, names), dictionary, model, bigrams))
+    learnt = settle(counted.join(own, "word", "left"))
+    others = texts.select("row", F.posexplode("others").alias("at", "other")).select("row", "at", "other.word", "other.n")
+    met = others.join(learnt.withColumnRenamed("n", "count"), "word")
+    sums = met.groupBy("row").agg(
+        F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("more_logs"),
+        F.sum("n").alias("more_known"),
+        F.collect_list(F.struct("at", "class")).alias("classes"),
+    )
+    joined = texts.drop("others").join(sums, "row", "left")
+    paths = settle(with_paths(joined, model, True).drop("units", "rest", "classes"))
+    after = path_bigrams(paths, n_classes, end)
+    found.append(likelihood(after))
+    if found[-1] >= likelihood(bigrams):
+        bigrams = after
+    else:
+        paths = settle(with_paths(joined, model, False).drop("units", "rest", "classes"))
+        learnt = learnt.withColumn("class", F.lit(None).cast("int"))
+    return paths, learnt, model, bigrams, found
+
+
 # --- model ------------------------------------------------------------------
 
 
-def class_sizes(counted: DataFrame, dictionary: Dictionary, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+def class_sizes(learnt: DataFrame, dictionary: Dictionary, model: Classes, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of every class."""
-    shared = counted.sparkSession.sparkContext.broadcast((vars(dictionary), classes))
+    shared = learnt.sparkSession.sparkContext.broadcast((vars(dictionary), vars(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes = Dictionary(**shared.value[0]), shared.value[1]
+        known, model = Dictionary(**shared.value[0]), Classes(**shared.value[1])
         for batch in batches:
-            units = [known.unit(w) for w in batch.column("word").to_pylist()]
-            of, n = classes[units], batch.column("n").to_numpy()
+            words, given = batch.column("word").to_pylist(), batch.column("class").to_pylist()
+            of = [
+                model.words[known.words[w]] if w in known.words else model.units[known.unit(w)] if c is None else c
+                for w, c in zip(words, given)
+            ]
+            of, n = np.array(of, dtype=np.int64), batch.column("n").to_numpy()
             tokens = np.bincount(of, weights=n, minlength=n_classes).astype(np.int64)
             words = np.bincount(of, minlength=n_classes)
             yield pa.record_batch([pa.array(np.arange(n_classes)), pa.array(tokens), pa.array(words)], ["class", "tokens", "words"])
 
-    sums = counted.mapInArrow(run, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens"), F.sum("words"))
+    sums = learnt.mapInArrow(run, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens"), F.sum("words"))
     tokens, words = np.zeros(n_classes), np.zeros(n_classes)
     for of, n, distinct in sums.collect():
         tokens[of], words[of] = n, distinct
@@ -349,30 +596,26 @@ def score_texts(
     texts = settle(read_texts(rows, dictionary))
     end = dictionary.unit(END)
     classes, bigrams, _ = cluster(texts, n_units + n_slots, n_classes, end, rounds)
-    tokens, words = class_sizes(counted, dictionary, classes, n_classes)
+    paths, learnt, model, bigrams, _ = settle_words(texts, counted, dictionary, classes, bigrams)
+    tokens, words = class_sizes(learnt, dictionary, model, n_classes)
     steps, spread = transitions(bigrams, tokens), np.log10(tokens + words + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((classes, steps, spread))
+    shared = docs.sparkSession.sparkContext.broadcast((model.end, steps, spread))
 
     @F.arrow_udf("struct<n: bigint, score: double>")
-    def paths(units: pa.Array) -> pa.Array:
-        classes, steps, spread = shared.value
+    def scored(paths: pa.Array) -> pa.Array:
+        end, steps, spread = shared.value
         sizes, scores = [], []
-        for value in units:
-            of = classes[np.frombuffer(value.as_py(), dtype=np.uint16)]
-            before = np.r_[classes[end], of[:-1]]
+        for value in paths:
+            of = np.frombuffer(value.as_py(), dtype=np.uint16)
+            before = np.r_[end, of[:-1]].astype(np.int64)
             sizes.append(len(of))
             scores.append(float(steps[before, of].sum() - spread[of].sum()))
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], ["n", "score"])
 
-    others = texts.select("row", F.explode("others").alias("other")).select("row", "other.word", "other.n")
-    met = others.join(counted.select("word", F.col("n").alias("count")), "word")
-    sums = met.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("more_logs"), F.sum("n").alias("more_known")
-    )
-    local = texts.select("row", "doc_id", "held_out", "log_counts", "n_known", paths("units").alias("path"))
+    local = paths.withColumn("path", scored("path"))
     logs = F.col("log_counts") + F.coalesce("more_logs", F.lit(0.0))
     base = float(np.log10(n_tokens + n_words + 1))
-    return local.join(sums, "row", "left").select(
+    return local.select(
         "doc_id",
         "held_out",
         F.col("path.n").alias("n_tokens"),

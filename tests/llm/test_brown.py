@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from ratepanel.llm import brown
 
 SMALL = {"n_classes": 8, "n_units": 200, "n_slots": 56, "known": 400, "rounds": 3}
@@ -94,3 +95,43 @@ def test_no_rows(no_docs, odd_docs):
     only_held = odd_docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 7 = 2")
     found = brown.score_texts(only_held, **SMALL).collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in found} == {(0, 0, 0.0)}
+
+
+def test_many_exchanges_are_single_ones():
+    rng = np.random.default_rng(6)
+    n_classes, n_units = 5, 40
+    text = rng.integers(0, n_units, 900) * rng.integers(0, 2, 900)
+    classes = rng.integers(0, n_classes, n_units)
+    now = np.zeros((n_classes, n_classes))
+    np.add.at(now, (classes[text[:-1]], classes[text[1:]]), 1)
+    counts = np.zeros((n_units, 2 * n_classes + 1), dtype=np.int64)
+    for a, b in zip(text[:-1], text[1:]):
+        counts[a, classes[b]] += 1
+        counts[b, n_classes + classes[a]] += 1
+        counts[a, 2 * n_classes] += a == b
+    alone = [brown.exchange(counts[u], int(classes[u]), now.copy()) for u in range(n_units)]
+    assert brown.exchange_many(counts, classes, now).tolist() == alone
+
+
+def test_words_of_one_slot_part(spark):
+    """Two groups of words, used in different places, share the only slot but not a class."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(300):
+        pairs = [f"a b{rng.integers(0, 30)}" if rng.random() < 0.5 else f"c d{rng.integers(0, 30)}" for _ in range(20)]
+        texts.append((i, " ".join(pairs), False))
+    docs = spark.createDataFrame(texts, "row long, text string, held_out boolean").withColumn("doc_id", F.col("row"))
+    counted = brown.count_words(docs).cache()
+    for known in (1000, 20):
+        dictionary = brown.Dictionary.of(counted, known, 3, 1)
+        read = brown.read_texts(docs, dictionary).cache()
+        classes, bigrams, _ = brown.cluster(read, 4, 6, dictionary.unit(b""), 3)
+        paths, learnt, model, bigrams, found = brown.settle_words(read, counted, dictionary, classes, bigrams)
+        assert found[2] > found[0] and brown.likelihood(bigrams) == pytest.approx(max(found))
+        own = {bytes(r["word"]): r["class"] for r in learnt.collect()}
+        own |= {w: int(model.words[i]) for w, i in dictionary.words.items()}
+        groups = [{own[w] for w in own if w[:1] == g and len(w) > 1} for g in (b"b", b"d")]
+        assert groups[0].isdisjoint(groups[1])
+        of = [own[w] for w in tokens(texts[0][1])]
+        assert paths.where("row = 0").first()["path"] == np.array(of, np.uint16).tobytes()
+        assert brown.class_sizes(learnt, dictionary, model, 6)[0].tolist() == bigrams.sum(axis=0).tolist()
