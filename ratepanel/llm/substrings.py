@@ -1,10 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against content-defined blocks.
+"""Substring deduplication by content-defined blocks and window hashes.
 
 A window is ``WINDOW`` consecutive words. Every window is anchored at the least hash of the
 ``GRAM``-word sequences in it, so equal windows have equal anchors wherever they stand.
 Consecutive windows of a document with one anchor form a *block*: the words they span,
 ``WINDOW`` at least. All blocks of all documents are the reference, indexed by anchor
-and content. Parsing takes a document block by block: a block that the reference
+and content. This replaces a greedy relative Lempel-Ziv parse: no phrase is matched and
+extended, because a join on blocks needs no copy of the reference in a task, and takes the same
+words. A block that the reference
 holds for a smaller doc_id is a factor, long enough by itself, and all its words are a
 duplicate span; factors that follow each other run together. At factor boundaries, that is
 in blocks that no smaller document holds but whose anchor others share with other content
