@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratepanel.operators.layout import with_rank
 from ratepanel.session import settle
 
 SLICES = 2
@@ -252,6 +253,15 @@ def fits(classes: DataFrame) -> bool:
     return top * top * (width or 0) * (2 * SLICES + 2) < 2.0**63
 
 
+def named(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``cls``, a number in the order of their smallest ids: that id, unless rows
+    with one id and different vectors share it. Then it is the place in a range partitioning."""
+    repeated = classes.groupBy("low").count().where(F.col("count") > 1)
+    if repeated.isEmpty():
+        return classes.withColumn("cls", F.col("low"))
+    return settle(with_rank(classes.withColumn("_hash", F.xxhash64("ints")), ["low", "_hash"], "cls").drop("_hash"))
+
+
 def top_k(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``asks`` holds."""
     usual = vectors.where(F.col(id).isNotNull() & usable(F.col(embedding)))
@@ -265,14 +275,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", embe
     classes = settle(
         rows.groupBy("ints").agg(F.min("vec_id").alias("low"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("n"))
     )
-    # Rows with one id and different vectors share the smallest id, so a class is named by id and vector.
-    named = F.struct(F.col("low"), F.xxhash64("ints"))
-    repeated = classes.groupBy("low").count().where(F.col("count") > 1)
-    if repeated.isEmpty():
-        classes = classes.withColumn("cls", F.col("low"))
-    else:
-        order = F.row_number().over(Window.orderBy(named)).cast("long")
-        classes = settle(classes.withColumn("cls", order))
+    classes = named(classes)
     best = settle(best_classes(classes, classes.where("asks").select("cls", "ints"), k + 1))
 
     crowded = classes.where(F.col("n") > 1)

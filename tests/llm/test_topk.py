@@ -69,3 +69,23 @@ def test_few_entries_are_collected(spark):
         order = sorted(range(3000), key=lambda j: (-s[j], j))[:6]
         assert {(q, j, int(s[j])) for j in order} <= best
     assert len(best) == 60 * 6
+
+
+def test_classes_of_one_id_are_numbered_in_ranges(spark, monkeypatch):
+    """No task sorts all vectors, also if an id is repeated."""
+    sizes = []
+
+    def seen(df):
+        sizes.extend(r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect())
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    rows = [(i // 2 if i < 10 else i, [i, i % 7], True, 1) for i in range(4000)]
+    classes = spark.createDataFrame(rows, "low long, ints array<long>, asks boolean, n long")
+    monkeypatch.setattr(topk, "settle", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = topk.named(classes).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["cls"] for r in found}) == 4000 and max(sizes) < 2000
+    assert [r["low"] for r in sorted(found, key=lambda r: r["cls"])] == sorted(r[0] for r in rows)
