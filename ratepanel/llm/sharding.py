@@ -3,7 +3,8 @@
 Every record is hashed into one of thousands of slots for good. Bytes and rows are added
 up per slot, and only these sums, of a fixed number, reach the driver. The map from
 slots to shards starts even; each rebalancing edits the map, moving as few slots as it
-takes, and is stored as a further version, so earlier layouts stay readable. A record's
+takes, and is stored as a further version, so earlier layouts stay readable. With a folder for
+the map, a run starts from the version stored last and adds its own. A record's
 place in its shard is the rows of the slots before its own plus its place in the slot.
 
 Law ``bytes``: the shards' sizes are near equal, up to the smallest move of a slot that helps.
@@ -25,6 +26,7 @@ from ratepanel.session import settle
 
 SLOTS = 4096
 SHARDS = 8
+MAP = "version int, virtual_slot int, shard int"
 
 
 def record_size(text: str = "text") -> Column:
@@ -41,14 +43,35 @@ def slot_of(slots: int = SLOTS) -> Column:
 
 @dataclass
 class SlotMap:
-    """Versions of the map; ``versions[v][slot]`` is the shard."""
+    """Versions of the map, from number ``first`` on; ``versions[v][slot]`` is the shard."""
 
     versions: list[np.ndarray] = field(default_factory=list)
+    first: int = 0
 
     @classmethod
     def even(cls, slots: int = SLOTS, shards: int = SHARDS) -> SlotMap:
         return cls([np.arange(slots) % shards])
 
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, slots: int, shards: int) -> SlotMap | None:
+        """The version stored last in ``folder``, if there is one."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        stored = spark.read.schema(MAP).parquet(folder)
+        version = stored.agg(F.max("version")).first()[0]
+        rows = stored.where(F.col("version") == version).orderBy("virtual_slot").collect()
+        owner = np.array([r["shard"] for r in rows])
+        if len(owner) != slots or owner.max() >= shards:
+            raise ValueError(f"the map in {folder} has {len(owner)} slots and {owner.max() + 1} shards, not {slots} and {shards}")
+        return cls([owner], version)
+
+    def store(self, spark: SparkSession, folder: str, after: int) -> None:
+        """Appends the versions beyond number ``after``."""
+        found = [(self.first + v, s, int(x)) for v, owner in enumerate(self.versions) for s, x in enumerate(owner)]
+        rows = spark.createDataFrame([r for r in found if r[0] > after], MAP)
+        rows.coalesce(1).write.mode("append").parquet(folder)
+
     @property
     def latest(self) -> np.ndarray:
         return self.versions[-1]
@@ -89,7 +112,7 @@ class SlotMap:
         """The map as a stored table ``version, virtual_slot, shard, before``, where
         ``before`` counts the rows in the shard's slots before this one."""
         found = []
-        for version, owner in enumerate(self.versions):
+        for version, owner in enumerate(self.versions, start=self.first):
             filled = np.zeros(int(owner.max()) + 1, dtype=np.int64)
             for slot, shard in enumerate(owner):
                 found.append((version, slot, int(shard), int(filled[shard])))
@@ -106,12 +129,19 @@ def slot_sums(slots_and_bytes: DataFrame, slots: int) -> tuple[np.ndarray, np.nd
     return sizes, rows
 
 
-def placed(docs: DataFrame, keep: list[Column], shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``keep`` of each row of ``docs``, and ``_slot, _version, _shard, _place``."""
+def placed(docs: DataFrame, keep: list[Column], shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+    """``keep`` of each row of ``docs``, and ``_slot, _version, _shard, _place``; the map is kept in ``folder``."""
     sizes, rows = slot_sums(docs.select(slot_of(slots).alias("virtual_slot"), record_size().alias("bytes")), slots)
-    slot_map = SlotMap.even(slots, shards)
+    spark = docs.sparkSession
+    stored = SlotMap.load(spark, folder, slots, shards) if folder else None
+    slot_map = stored or SlotMap.even(slots, shards)
+    if slot_map.latest.max() + 1 < min(shards, slots):
+        slot_map.grow(sizes, shards)
     slot_map.rebalance(sizes, shards)
-    newest = slot_map.table(docs.sparkSession, rows).where(F.col("version") == len(slot_map.versions) - 1)
+    if folder:
+        slot_map.store(spark, folder, slot_map.first if stored else -1)
+    last = slot_map.first + len(slot_map.versions) - 1
+    newest = slot_map.table(spark, rows).where(F.col("version") == last)
     newest = newest.select(
         F.col("virtual_slot").alias("_slot"),
         F.col("version").alias("_version"),
@@ -125,10 +155,10 @@ def placed(docs: DataFrame, keep: list[Column], shards: int = SHARDS, slots: int
     return numbered.join(newest, "_slot").withColumn("_place", F.col("_before") + F.col("_row")).drop("_before", "_row")
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """Each record's id, size, checksum and place, without its text."""
     keep = [F.col("doc_id"), record_size().alias("size"), record_crc().alias("text_crc32")]
-    return placed(docs, keep, shards, slots).select(
+    return placed(docs, keep, shards, slots, folder).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -141,8 +171,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> Dat
     )
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """``docs`` with the shard and the place in it of each record."""
-    found = placed(docs, [docs[c] for c in docs.columns], shards, slots)
+    found = placed(docs, [docs[c] for c in docs.columns], shards, slots, folder)
     shard, slot = unused(docs, "shard"), unused(docs, "slot")
     return found.select(*docs.columns, F.col("_shard").alias(shard), F.col("_place").alias(slot))

@@ -45,3 +45,19 @@ def test_stored_map(spark):
     slot_map.rebalance(np.arange(16.0), 4)
     stored = slot_map.table(spark, np.ones(16, dtype=int)).toPandas()
     assert len(stored) == 32 and set(stored.version) == {0, 1}
+
+
+def test_runs_edit_the_stored_map(spark, some_docs, tmp_path):
+    folder = str(tmp_path / "map")
+    small = some_docs.where("doc_id % 3 = 0")
+    runs = [sharding.shard_rows(d, n, 64, folder).collect() for d, n in ((small, 4), (small, 4), (some_docs, 4), (some_docs, 5))]
+    assert [{r["map_version"] for r in found} for found in runs] == [{1}, {2}, {3}, {5}]
+    stored = spark.read.parquet(folder).toPandas().sort_values(["version", "virtual_slot"])
+    owner = [stored[stored.version == v].shard.to_numpy() for v in range(6)]
+    assert all(len(o) == 64 for o in owner) and (owner[1] == owner[2]).all()
+    sizes, _ = sharding.slot_sums(some_docs.select(sharding.slot_of(64).alias("virtual_slot"), sharding.record_size().alias("bytes")), 64)
+    edited = sharding.SlotMap([owner[2]])
+    edited.rebalance(sizes, 4)
+    assert (edited.latest == owner[3]).all() and set(owner[4][owner[4] != owner[3]]) == {4}
+    for found, of in zip(runs, (1, 2, 3, 5)):
+        assert all(r["shard"] == owner[of][r["virtual_slot"]] for r in found)
