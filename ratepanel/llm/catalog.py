@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratepanel.llm import brown, decontaminate, langid, mixing, quality, sharding, simhash, substrings, tokenfiles, topk
+from ratepanel.llm import brown, decontaminate, langid, mixing, quality, sharding, simhash, substrings, tokenfiles, topk, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,82 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfiles.read_files(tokenfiles.write_files(table(spark, sf_dir, "documents"), path))
+
+
+# The cost of every phase of the grammar after every turn, with the letters of its edits; two letters are enough between turns.
+TURNS_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place
+  FROM conversations
+), crc AS (
+  SELECT *, list_reduce([4294967295::UBIGINT] || [ord(c)::UBIGINT FOR c IN string_split(place, '')],
+    lambda acc, byte: list_reduce([xor(acc, byte), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END)) AS c
+  FROM said
+), fate AS (
+  SELECT conv_id, turn, role, text, xor(c, 4294967295::UBIGINT) % 20 AS fate FROM crc
+), damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fate WHERE fate <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body
+  FROM damaged
+), rows AS (
+  SELECT *, left(role, 1) AS initial,
+    CASE WHEN body = '' THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM numbered
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM rows GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, n, 0::BIGINT AS i, 0 AS phase, 0::BIGINT AS cost, '' AS audit, ''::VARCHAR AS said FROM faults
+  UNION ALL
+  SELECT conv_id, n, i, phase, (best).cost, (best).audit, (best).said FROM (
+    SELECT s.conv_id, s.n, s.i + 1 AS i, m.phase, min({
+        'cost': s.cost + 2 * len(f.roles) + m.cost, 'audit': s.audit || repeat('I', len(f.roles)) || m.letter,
+        'said': s.said || array_to_string([r || ':' || chr(10) FOR r IN f.roles], '') || m.said}) AS best
+    FROM steps s
+    JOIN (VALUES (0, 0, []), (0, 2, ['user']), (0, 3, ['user', 'assistant']), (1, 1, []), (1, 2, ['user']),
+      (1, 3, ['user', 'assistant']), (2, 2, []), (2, 3, ['assistant']), (2, 2, ['assistant', 'user']), (3, 3, []),
+      (3, 2, ['user']), (3, 3, ['user', 'assistant'])) f(phase, after, roles) ON f.phase = s.phase
+    LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+    JOIN LATERAL (
+      SELECT f.after AS phase, 3 AS cost, 'D' AS letter, '' AS said WHERE s.i < s.n
+      UNION ALL
+      SELECT CASE r.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, (r.fault = 't')::INT, 'K', r.role || ':' || r.text || chr(10)
+      WHERE s.i < s.n AND r.fault IN ('t', '-') AND (r.initial = CASE f.after WHEN 2 THEN 'a' ELSE 'u' END OR r.initial = 's' AND f.after = 0)
+      UNION ALL
+      SELECT CASE f.after WHEN 2 THEN 3 ELSE 2 END, 2 + (r.fault = 't')::INT, 'R',
+        CASE f.after WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || r.text || chr(10)
+      WHERE s.i < s.n AND r.fault IN ('t', '-')
+      UNION ALL
+      SELECT f.after, 0, '', '' WHERE s.i = s.n AND f.after IN (0, 3)
+    ) m ON true
+    WHERE s.i <= s.n
+    GROUP BY ALL
+  )
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce((best).cost, 0) AS cost,
+  coalesce((best).audit, '') AS audit, sha256(coalesce((best).said[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (
+  SELECT conv_id, min({'cost': cost, 'audit': audit, 'said': said}) AS best FROM steps WHERE i = n + 1 GROUP BY conv_id
+) b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op11_turn_repair", TURNS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damage(table(spark, sf_dir, "conversations"))
