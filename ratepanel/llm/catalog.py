@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratepanel.llm import brown, decontaminate, langid, mixing, quality, sharding, simhash, substrings, tokenfiles, topk, turns
+from ratepanel.llm import brown, centroids, decontaminate, langid, mixing, quality, sharding, simhash, substrings, tokenfiles, topk, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,41 @@ LEFT JOIN (
 @query("op11_turn_repair", TURNS_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_damage(table(spark, sf_dir, "conversations"))
+
+
+def cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds written out, every vector with every centroid."""
+    parts = [
+        r"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h NULLS LAST, q) - 1)::INTEGER AS cluster, q
+  FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k})
+)""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (
+  SELECT i, any_value(v.vec_id) AS vec_id, any_value(v.q) AS q, min(struct_pack(
+    d := list_sum([(x[1] - x[2]) ** 2 FOR x IN list_zip(v.q, c{n}.q)])::BIGINT, cluster := cluster)) AS best
+  FROM v, c{n} GROUP BY i
+)""")
+        if n < rounds:
+            parts.append(f"""s{n} AS (
+  SELECT cluster, j, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT (best).cluster AS cluster, unnest(q) AS x, unnest(range(64)) AS j FROM a{n}) GROUP BY ALL
+), m{n} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS q FROM s{n} GROUP BY cluster
+), c{n + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m{n}.q, c{n}.q) AS q FROM c{n} LEFT JOIN m{n} USING (cluster)
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster, (best).d AS distance, sum((best).d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum((best).d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON (best).cluster = cluster"""
+
+
+@query("op12_centroid_clustering", cluster_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
