@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratepanel.llm import brown, centroids, decontaminate, langid, mixing, quality, sharding, simhash, substrings, tokenfiles, topk, turns
+from ratepanel.llm import brown, centroids, decontaminate, langid, mixing, quality, setjoin, sharding, simhash, substrings, tokenfiles, topk, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -235,3 +235,32 @@ FROM a{rounds} JOIN c{rounds} ON (best).cluster = cluster"""
 @query("op12_centroid_clustering", cluster_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT r, hash(array_to_string(ws[i:i + 4], ' ')) AS h, len(ws) < 5 AS short
+  FROM (SELECT r, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)
+), n AS MATERIALIZED (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n FROM s a JOIN s b USING (h, short) WHERE a.r <> b.r GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)
+), reached AS (
+  SELECT r AS a, r AS b FROM w
+  UNION
+  SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+)
+SELECT any_value(x.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y.doc_id) AS component_id
+FROM reached JOIN w x ON x.r = a JOIN w y ON y.r = b LEFT JOIN n ON n.r = a GROUP BY a
+"""
+
+
+@query("op13_jaccard_join", JACCARD_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_documents(table(spark, sf_dir, "documents"))
