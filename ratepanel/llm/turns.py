@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +39,7 @@ from ratepanel.session import settle
 WHITE = " \t\n\x0b\x0c\r"
 BLOCK = 64
 FAN = 64
+KNOWN = 20_000
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
 LETTERS = "DIKR"
 
@@ -123,7 +123,6 @@ def lead(start: int, end: int) -> list[tuple[str, str, int]]:
     return [("", "a" if start == 2 else "u", (end == 2) != (start == 2))]
 
 
-@lru_cache(maxsize=50_000)
 def cheapest(cells: str, start: int, end: int) -> Choice | None:
     """The least (cost, audit) of a block of ``cells`` (initial and fault by turns) from phase to phase."""
     rows = list(zip(cells[::2], cells[1::2]))
@@ -153,10 +152,16 @@ def cheapest(cells: str, start: int, end: int) -> Choice | None:
     return best
 
 
-def table(cells: str, first: bool, last: bool) -> Table:
-    starts, ends = (0,) if first else (0, 1, 2, 3), (0, 3) if last else (0, 1, 2, 3)
-    found = {(s, e): cheapest(cells, s, e) for s in starts for e in ends}
-    return {k: v for k, v in found.items() if v is not None}
+def table(cells: str, first: bool, last: bool, known: dict[tuple, Table] | None = None) -> Table:
+    """Least costs and audits from phase to phase; ``known`` keeps those of cells seen before."""
+    known = {} if known is None else known
+    if (cells, first, last) not in known:
+        if len(known) >= KNOWN:
+            known.clear()
+        starts, ends = (0,) if first else (0, 1, 2, 3), (0, 3) if last else (0, 1, 2, 3)
+        found = {(s, e): cheapest(cells, s, e) for s in starts for e in ends}
+        known[cells, first, last] = {k: v for k, v in found.items() if v is not None}
+    return known[cells, first, last]
 
 
 def chained(a: Table, b: Table) -> Table:
@@ -264,10 +269,11 @@ def solved(runs: DataFrame) -> DataFrame:
     """The table of every run: least cost and audit from phase to phase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, Table] = {}
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                found = table(r["cells"], r["place"] == 0, r["place"] == r["runs"] - 1)
+                found = table(r["cells"], r["place"] == 0, r["place"] == r["runs"] - 1, known)
                 marks = r["cells"][1::2]
                 counts = [marks.count("b"), marks.count("d"), marks.count("t"), illegal(r["cells"], r["before"])]
                 out.append(_row(r["conv_id"], r["place"], r["runs"], found, counts + [r["turns"], r["low"], r["high"]]))
