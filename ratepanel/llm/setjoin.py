@@ -13,12 +13,13 @@ each group of its own with such a signature, after which the pigeonholes still s
 set too sparse for that keeps them, and meets other sparse ones.
 
 Equal sets are one class from the start. Classes that share a signature are joined to
-the smallest of them (a star), and checked: a bound from counts in ``CELLS`` cells of the
+the smallest of them (a star), and checked: a bound from counts in cells of the
 domain, then the sets themselves. Stars leave open whether classes that missed their centre are
 linked. Signatures whose classes ended in one component are done. Else, up to ``FEW`` classes
-give all their pairs between components; more are divided by signatures of another
+are compared in one task, counts first, across components, each with the hub of its neighbours and
+then, if that leaves components apart, with all; more are divided by signatures of another
 seed, which linked sets share as well, and so on; after ``LEVELS`` divisions what is left is
-compared by blocks, counts first. No link between components is lost, and
+compared by blocks of ``FEW``. No link between components is lost, and
 copies of any number cost one class.
 
 Texts are read where they lie: once for the classes, once for the signatures, and once in every round of checks, for
@@ -34,7 +35,6 @@ rows each. Texts of any length are taken whole. No rows give no rows. Further co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +50,8 @@ from ratepanel.session import settle
 SHINGLE = 5
 PERCENT = 80
 PARTS = 3
-CELLS = 64
-FEW = 64
+FEW = 4096
 LEVELS = 4
-BLOCK = 1024
 CHUNK = 4_000_000
 HELD = 65_536
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -69,15 +67,14 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     whole = max(0, len(words) - width + 1)
     rows = np.zeros(whole, dtype=np.uint64)
     for i in range(width):
-        rows += mixed(words[i : i + whole] + weights[i])
-        rows *= weights[i]
+        rows += words[i : i + whole] * weights[i]
     rows = mixed(rows)
     out = []
     for start, end in zip(edges, edges[1:]):
         if end - start >= width:
             out.append(np.unique(rows[start : end - width + 1]))
         elif end > start:
-            short = mixed(words[start:end] * weights[: end - start]).sum(dtype=np.uint64)
+            short = (words[start:end] * weights[: end - start]).sum(dtype=np.uint64)
             out.append(mixed(np.array([short + np.uint64(end - start)])))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
@@ -91,8 +88,15 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def cells_of(shingles: np.ndarray) -> bytes:
-    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=CELLS)
-    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+    """How many shingles fall into each cell of the domain, one or two on average; a power of two of cells."""
+    bits = max(2, (len(shingles) - 1).bit_length() - 1)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def halved(cells: np.ndarray) -> np.ndarray:
+    """Counts of cells twice as large."""
+    return cells[..., ::2] + cells[..., 1::2]
 
 
 def with_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -132,10 +136,14 @@ def groups_in(level: int) -> int:
     return needed + needed // 8
 
 
-@lru_cache(maxsize=64)
+BOUNDS: dict[int, np.ndarray] = {}
+
+
 def bounds(level: int) -> np.ndarray:
-    parts = PARTS * groups_in(level)
-    return np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+    if level not in BOUNDS:
+        parts = PARTS * groups_in(level)
+        BOUNDS[level] = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+    return BOUNDS[level]
 
 
 def reach(size: int) -> list[tuple[int, int]]:
@@ -256,15 +264,23 @@ def met(signs: DataFrame) -> DataFrame:
 # --- checks -----------------------------------------------------------------
 
 
-def _within(a: pa.Array, b: pa.Array, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    left = np.frombuffer(b"".join(a.to_pylist()), dtype=np.uint16).reshape(-1, CELLS).astype(np.int32)
-    right = np.frombuffer(b"".join(b.to_pylist()), dtype=np.uint16).reshape(-1, CELLS).astype(np.int32)
-    return np.abs(left - right).sum(axis=1) <= (n_a + n_b) * (100 - PERCENT) // (100 + PERCENT)
+def gap(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many shingles two sets differ at least, from their cells."""
+    while len(a) > len(b):
+        a = halved(a)
+    while len(b) > len(a):
+        b = halved(b)
+    return int(np.abs(a - b).sum())
+
+
+def counts_in(cells: bytes) -> np.ndarray:
+    return np.frombuffer(cells, dtype=np.uint8).astype(np.int32)
 
 
 @F.arrow_udf(T.BooleanType())
 def may_link(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-    return pa.array(_within(a, b, n_a.to_numpy(), n_b.to_numpy()))
+    rows = zip(a.to_pylist(), b.to_pylist(), n_a.to_pylist(), n_b.to_pylist())
+    return pa.array([gap(counts_in(x), counts_in(y)) <= differ(n, m) for x, y, n, m in rows], pa.bool_())
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -311,8 +327,7 @@ def linked(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The links ``a, b`` among the pairs."""
-    pairs = settle(bounded(pairs.distinct(), classes))
+    """The links ``a, b`` among distinct pairs."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     sets = sets_of(docs, classes, ends, width)
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
@@ -332,13 +347,6 @@ def open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return settle(rows.join(facts.where(F.col("low") < F.col("high")).select("key", "size"), "key"))
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """All pairs between components within lists of few classes."""
-    left = rows.select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    right = rows.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
-
-
 def divided(docs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, width: int = SHINGLE) -> DataFrame:
     """The long lists by the signatures of another seed."""
 
@@ -354,55 +362,97 @@ def divided(docs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, wid
     return rows.select("key", "cls").join(signs, "cls").select(F.xxhash64("key", "sign").alias("key"), "cls")
 
 
-def by_blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within the counts' bound between all components of long lists, a block of classes with a block at a time."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("long")
-    facts = classes.select("cls", "n", "cells")
-    dealt = rows.join(facts, "cls").withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tiles = dealt.withColumn("other", other).select(
-        "key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "cls", "root", "n", "cells"
-    )
+def compared(rows: DataFrame, classes: DataFrame, few: int = FEW, hubs: bool = False) -> DataFrame:
+    """Pairs ``a, b`` between components of a list, within the bound of the counts.
 
-    def run(table: pa.Table) -> pa.Table:
-        i, j, home = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("home").to_numpy()
-        cls, root, n = (table.column(c).to_numpy() for c in ("cls", "root", "n"))
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint16).reshape(-1, CELLS).astype(np.int32)
-        there = np.flatnonzero(home == j)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    With ``hubs`` each class is paired only with the one of those that has most of them. A list of more than ``few`` classes is compared as blocks of about so many, each with each.
+    """
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / few).cast("long"))
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("other", other)
+    tile = [F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j")]
+    tiles = dealt.join(classes.select("cls", "n", "cells"), "cls").select("key", *tile, "home", "cls", "root", "n", "cells")
+
+    def pairs(i: int, j: int, home: np.ndarray, cls: np.ndarray, root: np.ndarray, n: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(c) for c in cells])
+        there = {int(k): np.flatnonzero((home == j) & (sizes == k)) for k in np.unique(sizes)}
+        tables = {k: np.stack([counts_in(cells[x]) for x in at]) for k, at in there.items() if len(at)}
+        smaller = {k: halved(t) for k, t in tables.items()}
+        out = []
         for at in np.flatnonzero(home == i):
-            gap = np.abs(cells[there] - cells[at]).sum(axis=1)
-            close = (gap <= (n[there] + n[at]) * (100 - PERCENT) // (100 + PERCENT)) & (root[there] != root[at])
-            close &= cls[there] > cls[at] if i == j else True
-            found = cls[there[close]]
-            out.append((np.minimum(found, cls[at]), np.maximum(found, cls[at])))
-        return pa.table({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+            own, k = counts_in(cells[at]), int(sizes[at])
+            # linked sets have as many cells, or half or twice as many
+            for size, side, mine in ((k, tables, own), (2 * k, smaller, own), (k // 2, tables, halved(own))):
+                if size not in side:
+                    continue
+                to = there[size]
+                right = ((cls[to] > cls[at]) | (i != j)) & (root[to] != root[at])
+                right &= np.minimum(n[to], n[at]) * 100 >= np.maximum(n[to], n[at]) * PERCENT
+                to = to[right]
+                near = to[np.abs(side[size][right] - mine).sum(axis=1) <= differ(n[to], n[at])]
+                out.append(np.stack([np.full(len(near), at), near]))
+        ends = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+        if hubs and ends.size:
+            one, other = np.r_[ends[0], ends[1]], np.r_[ends[1], ends[0]]
+            order = np.lexsort((cls[other], -np.bincount(one, minlength=len(cls))[other], one))
+            first = order[np.r_[True, np.diff(one[order]) != 0]]
+            ends = np.stack([one[first], other[first]])
+        return np.sort(cls[ends], axis=0)
 
-    return tiles.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def listed(part: list[np.ndarray]) -> pa.RecordBatch:
+            tiles, *facts = part
+            first = np.flatnonzero(np.r_[True, (tiles[1:] != tiles[:-1]).any(axis=1)])
+            found = [np.zeros((2, 0), dtype=np.int64)]
+            for start, end in zip(first, np.r_[first[1:], len(tiles)]):
+                found.append(pairs(*tiles[start, 1:], *[f[start:end] for f in facts]))
+            ends = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.record_batch([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "home", "cls", "root", "n")}
+            tiles = np.stack([columns[c] for c in ("key", "i", "j")], axis=1)
+            cells = np.array(batch.column("cells").to_pylist(), dtype=object)
+            now = [tiles, *[columns[c] for c in ("home", "cls", "root", "n")], cells]
+            last = int(np.flatnonzero((tiles == tiles[-1]).all(axis=1))[0])
+            if last or held and (held[-1][0][-1] != tiles[0]).any():
+                yield listed([np.concatenate(p) for p in zip(*held, [x[:last] for x in now])])
+                held = []
+            held.append([x[last:] for x in now])
+        if held:
+            yield listed([np.concatenate(p) for p in zip(*held)])
+
+    ordered = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def find_links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE, few: int = FEW, levels: int = LEVELS) -> DataFrame:
     """``node, root``: the components that links between different classes make."""
     groups = settle(met(signed_classes(docs, width)))
-    links = checked(docs, classes, stars(groups), width)
+    tried = settle(bounded(stars(groups).distinct(), classes))
+    links = checked(docs, classes, tried, width)
     roots = settle(components(links))
     level = 0
     while True:
         rows = open_groups(groups, roots)
-        small = rows.where(F.col("size") <= few)
-        if not small.isEmpty():
-            links = links.unionByName(checked(docs, classes, across(small), width))
+        for hubs in (True, False):
+            now = rows if level == levels else rows.where(F.col("size") <= few)
+            pairs = settle(compared(now, classes, few, hubs).distinct().join(tried, ["a", "b"], "left_anti"))
+            tried = tried.unionByName(pairs)
+            links = links.unionByName(checked(docs, classes, pairs, width))
             roots = settle(components(links))
-            rows = open_groups(rows.where(F.col("size") > few), roots)
-        large = rows.where(F.col("size") > few)
-        if large.isEmpty():
+            rows = open_groups(rows, roots)
+        rows = rows.where(F.col("size") > few)
+        if level == levels or rows.isEmpty():
             return roots
         level += 1
-        if level > levels:
-            links = links.unionByName(checked(docs, classes, by_blocks(large, classes), width))
-            return settle(components(links))
-        groups = settle(met(divided(docs, classes, large, level, width)))
-        links = links.unionByName(checked(docs, classes, stars(groups), width))
+        groups = settle(met(divided(docs, classes, rows, level, width)))
+        pairs = settle(bounded(stars(groups).distinct().join(tried, ["a", "b"], "left_anti"), classes))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(checked(docs, classes, pairs, width))
         roots = settle(components(links))
 
 

@@ -129,3 +129,15 @@ def test_repeated_lists_are_told_once_a_task(spark):
     found = setjoin.met(spark.createDataFrame(rows, "key long, cls long"))
     assert found.distinct().count() == 3
     assert found.agg(F.count("cls")).first()[0] <= 3 * 8
+
+
+def test_cells_never_hide_a_link():
+    rng = np.random.default_rng(2)
+    for size in (1, 4, 5, 8, 9, 60, 64, 65, 500, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, int(rng.integers(0, size // 8 + 1)), dtype=np.uint64)])
+            if len(b):
+                both = len(np.intersect1d(a, b))
+                found = setjoin.gap(setjoin.counts_in(setjoin.cells_of(a)), setjoin.counts_in(setjoin.cells_of(b)))
+                assert found <= len(a) + len(b) - 2 * both
