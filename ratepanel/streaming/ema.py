@@ -1,7 +1,8 @@
-"""Exponential averages over a stream, one state row per key."""
+"""Exponential averages over a stream, one state per key."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ratepanel.operators.ema import ema_columns, memory, number_rows
 from ratepanel.operators.layout import open_series
 from ratepanel.streaming.state import BatchTable
+from ratepanel.streaming.stateful import ema_states, use_state_store
 
 
 def continue_ema(
@@ -36,31 +38,26 @@ def continue_ema(
 def ema_stream(
     stream: DataFrame,
     spans: Mapping[str, int],
-    state: BatchTable,
     sink: BatchTable,
+    late: BatchTable,
     checkpoint: str,
     key: str = "key",
     date: str = "date",
     value: str = "rate",
-    every: int = 0,
+    idle: datetime.timedelta | None = None,
 ) -> DataStreamWriter:
     """A stream writer that appends (key, date, value, averages) to ``sink``.
 
-    Each batch runs the same windows as the batch operator, so a key with many
-    new rows is split over tasks; the state is one row per key.
+    The state of a key is in Spark's state store. Rows at or before the newest date of their key
+    were counted already; they go to ``late``.
     """
-    types = dict(stream.dtypes)
-    columns = ", ".join(f"{name} double" for name in spans)
-    state_schema = f"{key} {types[key]}, last_date {types[date]}, {columns}"
+    use_state_store(stream.sparkSession)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = state.read(batch.sparkSession, batch_id - 1, state_schema)
-        # two rows of one key and date would have no order
-        unique = batch.groupBy(key, date).agg(F.avg(value).alias(value))
-        unique = unique.persist()
-        out, new = continue_ema(unique, old, spans, key, date, value)
-        sink.write(out, batch_id)
-        state.write(new, batch_id)
-        unique.unpersist()
+        batch = batch.persist()
+        sink.write(batch.where("NOT late").drop("late"), batch_id)
+        late.write(batch.where("late").select(key, date, value), batch_id)
+        batch.unpersist()
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    states = ema_states(stream, spans, key, date, value, idle)
+    return states.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

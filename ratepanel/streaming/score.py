@@ -2,42 +2,40 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ratepanel.operators.features import look_back
 from ratepanel.plans.score import STACKING, Run, project, score_batch
-from ratepanel.sources.bars import tail_per_key
 from ratepanel.streaming.state import BatchTable
-
-HISTORY_SCHEMA = "key string, date date, rate double"
+from ratepanel.streaming.stateful import use_state_store, with_past
 
 
 def score_stream(
     stream: DataFrame,
     run: Run,
-    history: BatchTable,
+    late: BatchTable,
     sink: BatchTable,
     checkpoint: str,
     model: str = STACKING,
+    idle: datetime.timedelta | None = None,
 ) -> DataStreamWriter:
     """A stream writer that scores (key, date, rate) rows batch by batch.
 
-    ``history`` keeps, per key, as many rates as a feature can look back; it is
-    written anew by every batch, so it grows with the keys and not with time.
+    Spark's state store keeps, per key, as many rates as a feature can look back; a batch
+    touches the keys it brings. Rows at or before the newest date of their key go to ``late``.
     """
+    use_state_store(stream.sparkSession)
     need = look_back(run.manifest["features"]) + 1
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.groupBy("key", "date").agg(F.avg("rate").alias("rate")).persist()
-        past = history.read(batch.sparkSession, batch_id - 1, HISTORY_SCHEMA)
-        known = past.join(rows.select("key").distinct(), "key", "left_semi")
-        scored = score_batch(rows, run, model, known)
-        sink.write(project(scored), batch_id)
-        # a rate that is sent again replaces the stored one
-        kept = past.join(rows.select("key", "date"), ["key", "date"], "left_anti")
-        history.write(tail_per_key(kept.unionByName(rows.select("key", "date", "rate")), need), batch_id)
-        rows.unpersist()
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        batch = batch.persist()
+        rows = {kind: batch.where(F.col("kind") == kind).drop("kind") for kind in ("new", "past", "late")}
+        sink.write(project(score_batch(rows["new"], run, model, rows["past"])), batch_id)
+        late.write(rows["late"], batch_id)
+        batch.unpersist()
+
+    return with_past(stream, need, idle=idle).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

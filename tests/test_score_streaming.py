@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from ratepanel.streaming.bars import bars_stream
 from ratepanel.streaming.ema import continue_ema, ema_stream
 from ratepanel.streaming.score import score_stream
 from ratepanel.streaming.state import BatchTable
+from ratepanel.streaming.stateful import ema_states, use_state_store, with_past
 
 CFG = train.TrainConfig(
     features=features.config(
@@ -100,7 +102,7 @@ def test_stream_scoring_equals_batch(spark, sf, run, tmp_path):
     write_parts(panel, tmp_path, ["date < '1997-01-01'", "date >= '1997-01-01' AND date < '1999-01-01'", "date >= '1999-01-01'"])
     stream = spark.readStream.schema("key string, date date, rate double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     sink = BatchTable(f"{tmp_path}/out")
-    writer = score_stream(stream, run, BatchTable(f"{tmp_path}/history"), sink, f"{tmp_path}/check", "linear")
+    writer = score_stream(stream, run, BatchTable(f"{tmp_path}/late"), sink, f"{tmp_path}/check", "linear")
     writer.trigger(availableNow=True).start().awaitTermination()
     got = sink.read_all(spark, "date string, key string, predicted_rate double, uncertainty double").toPandas()
     want = score.project(score.score_batch(panel, run, "linear")).toPandas()
@@ -115,7 +117,7 @@ def test_stream_ema_continues_over_batches(spark, sf, tmp_path):
     stream = spark.readStream.schema("key string, date date, rate double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     sink = BatchTable(f"{tmp_path}/out")
     spans = {"e5": 5, "e26": 26}
-    writer = ema_stream(stream, spans, BatchTable(f"{tmp_path}/state"), sink, f"{tmp_path}/check")
+    writer = ema_stream(stream, spans, sink, BatchTable(f"{tmp_path}/late"), f"{tmp_path}/check")
     writer.trigger(availableNow=True).start().awaitTermination()
     got = sink.read_all(spark, "key string, date date, rate double, e5 double, e26 double").toPandas()
     want = ema(panel, "rate", spans).toPandas()
@@ -125,6 +127,74 @@ def test_stream_ema_continues_over_batches(spark, sf, tmp_path):
         np.testing.assert_allclose(both[c], both[f"{c}_want"], rtol=1e-9)
 
 
+def test_stopped_averages_go_on_and_late_rows_are_kept(spark, panel, tmp_path):
+    df = panel({"A": [1.0, 2, 4, 8, 16, 32], "B": [5.0, 3, 1, 2, 9, 7], "C": [1.0, 1, 1, 1, 1, 1]})
+    spans = {"e2": 2, "e9": 9}
+    sink, late = BatchTable(f"{tmp_path}/out"), BatchTable(f"{tmp_path}/late")
+
+    def arrive(rows):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, date date, rate double").parquet(f"{tmp_path}/in")
+        ema_stream(stream, spans, sink, late, f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+
+    arrive(df.where("date <= '2022-01-02'"))
+    arrive(df.where("date BETWEEN '2022-01-03' AND '2022-01-04' AND key <> 'C'"))
+    arrive(df.where("date >= '2022-01-04' AND key <> 'C'"))
+    arrive(df.where("key = 'C' AND date > '2022-01-02'").unionByName(df.where("key = 'A' AND date = '2022-01-01'")))
+    got = sink.read_all(spark, "key string, date date, rate double, e2 double, e9 double").toPandas()
+    want = ema(df, "rate", spans).toPandas()
+    both = got.merge(want, on=["key", "date"], suffixes=("", "_want"))
+    assert len(got) == len(want) == len(both) == 18
+    for c in spans:
+        np.testing.assert_allclose(both[c], both[f"{c}_want"], rtol=1e-12)
+    dropped = late.read_all(spark, "key string, date date, rate double").collect()
+    assert sorted((r["key"], r["date"].day) for r in dropped) == [("A", 1), ("A", 4), ("B", 4)]
+    # a batch writes only the keys it brings
+    assert {r["key"] for r in spark.read.parquet(sink.folder(3)).collect()} == {"C"}
+
+
+def test_idle_keys_are_forgotten(spark, panel, tmp_path):
+    df = panel({"A": [1.0, 2, 4, 8], "B": [5.0, 3, 1, 2]})
+
+    def arrive(rows):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, date date, rate double").parquet(f"{tmp_path}/in")
+        use_state_store(spark)
+        states = ema_states(stream, {"e": 3}, idle=datetime.timedelta(seconds=1))
+        out = states.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+        # timers keep a query that takes what is available from ending
+        running = out.trigger(processingTime="1 second").start()
+        for _ in range(60):
+            time.sleep(0.5)
+            if sum(p["numInputRows"] for p in running.recentProgress):
+                break
+        running.stop()
+
+    arrive(df.where("date <= '2022-01-02'"))
+    time.sleep(2)
+    # the batch that brings B wakes A's timer
+    arrive(df.where("key = 'B' AND date = '2022-01-03'"))
+    arrive(df.where("key = 'A' AND date > '2022-01-02'"))
+    found = {(r["key"], r["date"].day): r["e"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found[("A", 2)] == 1.5 and found[("A", 3)] == 4.0 and found[("A", 4)] == 6.0
+
+
+def test_past_rows_come_with_new_ones(spark, panel, tmp_path):
+    df = panel({"A": [1.0, 2, 4, 8, 16], "B": [5.0, 3, 1, 2, 9]})
+    use_state_store(spark)
+    for i, part in enumerate(("date <= '2022-01-03'", "date = '2022-01-04' AND key = 'A'", "date >= '2022-01-04'")):
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, date date, rate double").parquet(f"{tmp_path}/in")
+        out = BatchTable(f"{tmp_path}/out{i}")
+        writer = with_past(stream, 2).writeStream.foreachBatch(lambda b, n, out=out: out.write(b, n))
+        writer.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    schema = "key string, date date, rate double, kind string"
+    found = sorted((r["key"], r["kind"], r["rate"]) for r in BatchTable(f"{tmp_path}/out2").read_all(spark, schema).collect())
+    assert found == [("A", "late", 8.0), ("A", "new", 16.0), ("A", "past", 4.0), ("A", "past", 8.0)] + [
+        ("B", "new", 2.0), ("B", "new", 9.0), ("B", "past", 1.0), ("B", "past", 3.0)
+    ]
+
+
 def test_ema_state_drops_rows_already_counted(spark, panel):
     df = panel({"A": [1, 2, 3, 4]})
     empty = spark.createDataFrame([], "key string, last_date date, e double")
