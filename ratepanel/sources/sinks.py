@@ -86,9 +86,9 @@ class RunStore:
         return DefaultParamsReader.loadParamsInstance(f"{self.path(run_id)}/models/{name}", self.spark.sparkContext)
 
     def log_metrics(self, run_id: str, metrics: DataFrame, names: Sequence[str] = METRICS) -> None:
-        """Append (model, metric, value) under the run's partition."""
-        rows = metric_rows(metrics.withColumn("run_id", F.lit(run_id)), names)
-        write(rows, f"{self.base}/metrics", mode="append", partition_by=["run_id"])
+        """Write (model, metric, value) as the run's partition; a run logged again replaces its rows."""
+        rows = metric_rows(metrics, names, ids=("model",))
+        write(rows, f"{self.base}/metrics/run_id={run_id}")
 
     def write_manifest(self, run_id: str, metadata: Mapping[str, Any]) -> None:
         rows = [(run_id, name, json.dumps(value, default=str)) for name, value in metadata.items()]

@@ -121,3 +121,12 @@ def test_load_summary(panel):
     row = rates.load_summary(panel({"A": [1, 2], "B": [3]})).first()
     assert (row["n_rows"], row["n_keys"]) == (3, 2)
     assert np.isclose(pd.Series([1.0]).mean(), 1.0)
+
+
+def test_metrics_logged_twice_are_there_once(spark, tmp_path):
+    store = sinks.RunStore(spark, str(tmp_path))
+    table = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "model string, MAE double, MSE double")
+    for run in ("run_20240101_120000", "run_20240102_120000", "run_20240101_120000"):
+        store.log_metrics(run, table, ("MAE", "MSE"))
+    rows = spark.read.parquet(f"{tmp_path}/metrics").collect()
+    assert len(rows) == 8 and {r["run_id"] for r in rows} == {"run_20240101_120000", "run_20240102_120000"}
