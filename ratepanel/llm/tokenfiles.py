@@ -34,10 +34,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -65,8 +65,10 @@ MARKS = ".,;:!?*&%$#|()[]{}-+=/"
 # in order, are the characters from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+SPACE = chr(ALPHABET[32])
 
 UNSAFE = re.compile(r" \s")
+UNSAFE_LINE = re.compile(r"\n(?:(?<=\s\n)|[^\S ]| $)")
 WHITE = re.compile(r"\s")
 BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -100,15 +102,11 @@ class Encoder:
 
     @classmethod
     def of_worker(cls, definition: str, end: int) -> Encoder:
-        """The Python worker's own encoder. Workers serve many tasks, whose code comes anew
-        with each, so it is kept with the tokenizers module, which stays."""
-        import tokenizers
-
-        kept = vars(tokenizers).setdefault("_encoders", {})
+        """The Python worker's own encoder, kept from task to task."""
         key = (xxhash.xxh64_intdigest(definition), end)
-        if key not in kept:
-            kept[key] = cls(definition, end)
-        return kept[key]
+        if key not in KEPT:
+            KEPT[key] = cls(definition, end)
+        return KEPT[key]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -119,7 +117,8 @@ class Encoder:
         if ids is None:
             ids = self.older[spaced].get(word)
             if ids is None:
-                piece = (" " + word if spaced else word).encode().decode("latin-1").translate(ALPHABET)
+                piece = " " + word if spaced else word
+                piece = piece.replace(" ", SPACE) if word.isascii() else piece.encode().decode("latin-1").translate(ALPHABET)
                 found = [t.id for t in self.model.tokenize(piece)]
                 ids = struct.pack(f"<{len(found)}I", *found)
             self.recent[spaced][word] = ids
@@ -159,22 +158,57 @@ class Encoder:
             letters = word.rstrip(MARKS)
             ids = recent(letters)
             if ids is None:
-                out[word] = self._odd(word, spaced)
-            else:
+                if not letters.isalpha():
+                    out[word] = self._odd(word, spaced)
+                    continue
+                ids = self._letters(letters, spaced)
+            if len(letters) < len(word):
                 after = word[len(letters) :]
                 more = marks.get(after)
                 if more is None:
                     more = marks[after] = self._other(after, False)
-                out[word] = ids + more
+                ids += more
+            out[word] = ids
         return out
 
+    def _apart(self, text: str) -> bytes:
+        """A text in which white space meets white space."""
+        first, *later = BEFORE_WORD.split(text)
+        return b"".join((self._odd(first, False), *[self._odd(word, True) for word in later], self.end))
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Texts with nothing but single spaces and line breaks between words; Arrow splits them and names the
+        distinct words, those after a line break with the break before them. So is the first word of
+        a text, whose break is then left out."""
+        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n")
+        nothing, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        split = pc.split_pattern(pc.binary_join_element_wise(line, lines, nothing), " ")
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        first = self._known({name[1:] for name in names if name[:1] == "\n"}, False)
+        later = self._known({name for name in names if name[:1] != "\n"}, True)
+        ids = [self.line + first[name[1:]] if name[:1] == "\n" else later[name] for name in names]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        which = words.indices.to_numpy()
+        taken = sizes[which]
+        ends = np.cumsum(taken)
+        places = np.arange(ends[-1]) + np.repeat(starts[which] - ends + taken, taken)
+        tokens = np.frombuffer(b"".join(ids), dtype="<u4")[places]
+        ends = ends[split.offsets.to_numpy()[1:] - 1]
+        begins = np.r_[0, ends[:-1]] + len(self.line) // 4
+        return [tokens[a:b].tobytes() + self.end for a, b in zip(begins, ends)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self._whole(t) + self.end for t in texts]
-        split = [t.split(" ") if not UNSAFE.search(t) else BEFORE_WORD.split(t) for t in texts]
-        first = self._known({words[0] for words in split}, False)
-        later = self._known(set(chain.from_iterable(words[1:] for words in split)), True).__getitem__
-        return [b"".join((first[words[0]], *map(later, words[1:]), self.end)) for words in split]
+        apart = [bool(UNSAFE.search(t) or UNSAFE_LINE.search(t)) for t in texts]
+        plain = [t for t, a in zip(texts, apart) if not a]
+        found = iter(self._together(plain) if plain else ())
+        return [self._apart(t) if a else next(found) for t, a in zip(texts, apart)]
+
+
+KEPT: dict[tuple[int, int], Encoder] = {}
 
 
 class Writer:
