@@ -2,17 +2,17 @@
 
 One table of positions holds a bit for each language, so looking an n-gram up at its
 positions and taking the bits common to all gives the languages that contain it. A text's
-n-grams are counted for each language by those bits; the chance with which a
-language's filter says yes to anything, known from its fill, is taken off; the language
-with the largest share of the n-grams decides.
+n-grams are counted for each language by those bits; the share with which a language's
+filter says yes to text that is not its own is taken off; the language with the
+largest share of the n-grams decides.
 
 An n-gram is four bytes of the text with ASCII letters lower-cased and other ASCII
-turned into spaces, with at most one space. A language contains it if the
-language's texts hold it twice or more and at least ``SHARE`` times as often, relative to
-their length, as the language that holds it most often; so shares do not depend on how much
-text was learnt from. The filter's size is a power of two with ``ROOM`` positions for each
-n-gram of the largest language, at most ``2 ** MOST_BITS``; a fuller filter only answers
-yes more often, which is corrected for.
+turned into spaces, with at most one space. A language contains every n-gram that its
+texts hold. A filter is wrong in two ways: by chance, known from its fill, and because languages
+have n-grams in common: the share of the other languages' text, each weighing the same, that a
+language contains. A language learnt from much text contains more of the others, and more is taken off. The
+filter's size is a power of two with ``ROOM`` positions for each n-gram of the largest
+language, at most ``2 ** MOST_BITS``; a fuller filter only answers yes more often, which is corrected for.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or nothing was
 learnt; a text with letters but no known n-gram gets the language with most n-grams,
@@ -35,7 +35,6 @@ from ratepanel.session import settle
 
 GRAM = 4
 HASHES = 3
-SHARE = 0.1
 ROOM = 16
 MOST_BITS = 24
 SEGMENT = 2_000_000
@@ -115,13 +114,17 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Filters:
-    """``table[s, p]``: bits of the languages ``s * width`` onwards at position ``p``."""
+    """``table[s, p]``: bits of the languages ``s * width`` onwards at position ``p``.
+
+    ``foreign`` is the share of other languages' n-grams that each language contains.
+    """
 
     langs: list[str]
     bits: int
     width: int
     table: np.ndarray
     common: str
+    foreign: np.ndarray
 
     def false_positives(self) -> np.ndarray:
         fill = [
@@ -154,15 +157,17 @@ class Filters:
             letters[i] = any(c.isalpha() for c in column[int(i)].as_py())
         if not self.langs:
             return ["und"] * len(column), np.zeros(len(column))
-        wrong = self.false_positives()[:, None]
-        shares = np.maximum(0.0, (hits / np.maximum(total, 1) - wrong) / np.maximum(1.0 - wrong, 1e-9))
-        best, whole = shares.argmax(axis=0), shares.sum(axis=0)
+        chance = self.false_positives()
+        wrong = (chance + self.foreign * (1.0 - chance))[:, None]
+        corrected = (hits / np.maximum(total, 1) - wrong) / np.maximum(1.0 - wrong, 1e-9)
+        shares = np.maximum(0.0, corrected)
+        best, whole, known = corrected.argmax(axis=0), shares.sum(axis=0), hits.any(axis=0)
         score = np.where(letters & (whole > 0), shares.max(axis=0) / np.maximum(whole, 1e-12), 0.0)
-        names = [("und" if not known else self.langs[i] if w > 0 else self.common) for known, i, w in zip(letters, best, whole)]
+        names = [("und" if not letter else self.langs[i] if k else self.common) for letter, i, k in zip(letters, best, known)]
         return names, score
 
 
-def learn(rows: DataFrame, share: float = SHARE) -> Filters:
+def learn(rows: DataFrame) -> Filters:
     """Filters from ``text, lang``; rows without either are left out."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = settle(count_grams(known))
@@ -170,10 +175,12 @@ def learn(rows: DataFrame, share: float = SHARE) -> Filters:
     sizes = {r["lang"]: r["whole"] for r in totals.collect()}
     langs = sorted({r["lang"] for r in known.select("lang").distinct().collect()}, key=lambda x: x.encode())
     common = min(langs, key=lambda x: (-sizes.get(x, 0), x.encode()), default="und")
-    rates = counted.where(F.col("n") > 1).join(totals, "lang").withColumn("rate", F.col("n") / F.col("whole"))
-    tops = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-    inside = settle(rates.join(tops, "gram").where(F.col("rate") >= F.col("top") * share).select("gram", "lang"))
-    largest = inside.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    rates = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("whole"))
+    tops = rates.groupBy("gram").agg(F.sum("rate").alias("every"))
+    shared = rates.join(tops, "gram").groupBy("lang").agg(F.count(F.lit(1)).alias("grams"), F.sum(F.col("every") - F.col("rate")).alias("others"))
+    facts = {r["lang"]: r for r in shared.collect()}
+    largest = max((r["grams"] for r in facts.values()), default=1)
+    foreign = [min(1.0, max(0.0, facts[x]["others"] / (len(sizes) - 1))) if x in facts and len(sizes) > 1 else 0.0 for x in langs]
     bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(ROOM * largest)))))
     width = 8 if len(langs) <= 8 else 64
     kind = np.uint8 if width == 8 else np.uint64
@@ -189,7 +196,7 @@ def learn(rows: DataFrame, share: float = SHARE) -> Filters:
                 yield pa.record_batch([pa.array(number // width), pa.array(at.astype(np.int64)), pa.array(bit)], ["slice", "place", "bit"])
 
     slices = (
-        inside.mapInArrow(positions, "slice long, place long, bit long")
+        counted.select("gram", "lang").mapInArrow(positions, "slice long, place long, bit long")
         .groupBy("slice", "place")
         .agg(F.bit_or("bit").alias("mask"))
         .withColumn("range", F.shiftright("place", max(0, bits - 6)))
@@ -204,7 +211,7 @@ def learn(rows: DataFrame, share: float = SHARE) -> Filters:
     for r in slices.groupBy("slice", "range").applyInArrow(filled, "slice long, range long, part binary").collect():
         part = np.frombuffer(r["part"], dtype=kind)
         table[r["slice"], r["range"] * len(part) : (r["range"] + 1) * len(part)] = part
-    return Filters(langs, bits, width, table, common)
+    return Filters(langs, bits, width, table, common, np.round(foreign, 9))
 
 
 def predict_column(docs: DataFrame, filters: Filters) -> Column:

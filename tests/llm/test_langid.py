@@ -1,7 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from ratepanel.llm import langid
+import pytest
 from pyspark.sql import functions as F
+from ratepanel.llm import langid
 
 
 def test_held_out_accuracy(spark):
@@ -58,3 +61,54 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert langid.identify(no_docs).count() == 0
     nothing = langid.identify(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
+
+
+def grams_of(text):
+    raw = bytes(langid.FOLD[list(text.encode())])
+    whole = [raw[i : i + 4] for i in range(len(raw) - 3)]
+    return [g for g in whole if g.count(b" ") <= 1]
+
+
+def by_sets(learnt, texts):
+    """What sets in place of the filters answer: the language and the score of each text."""
+    counts = {}
+    for text, lang in learnt:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams_of(text))
+    counts = dict(sorted(counts.items()))
+    foreign = []
+    for lang, own in counts.items():
+        others = [sum(n for g, n in c.items() if g in own) / c.total() for x, c in counts.items() if x != lang and c]
+        foreign.append(sum(others) / max(1, len([c for c in counts.values() if c]) - 1) if own else 0.0)
+    out = []
+    for text in texts:
+        grams = grams_of(text or "")
+        shares = [(sum(g in own for g in grams) / max(1, len(grams)) - f) / (1 - f) for own, f in zip(counts.values(), foreign)]
+        whole = sum(max(0.0, x) for x in shares)
+        out.append((list(counts)[int(np.argmax(shares))], max(0.0, *shares) / whole if whole else 0.0))
+    return out
+
+
+@pytest.mark.parametrize("which", ["odd", "some"])
+def test_filters_answer_as_sets(which, spark, odd_rows, some_rows):
+    rows = odd_rows if which == "odd" else some_rows
+    learnt = [(r[1], r[2]) for r in rows]
+    filters = langid.learn(spark.createDataFrame(learnt, "text string, lang string"))
+    texts = [r[1] for r in rows if r[1] and len(grams_of(r[1])) >= 20 and any(c.isalpha() for c in r[1])]
+    names, score = filters.predict(pa.array(texts, pa.string()))
+    expected = by_sets(learnt, texts)
+    assert texts and np.abs(score - [s for _, s in expected]).max() < 0.02
+    assert sum(a != b for a, (b, _) in zip(names, expected)) <= len(texts) // 200
+
+
+def test_a_language_of_one_sentence(spark, some_rows):
+    dutch = [
+        "De kat zat gisteren rustig op de mat terwijl het buiten hard regende en de kinderen speelden.",
+        "Wij gingen naar het strand om schelpen te zoeken maar vonden alleen een oude schoen.",
+    ]
+    for known in (1, 2):
+        learnt = [(r[1], r[2]) for r in some_rows] + [(text, "nl") for text in dutch[:known]]
+        filters = langid.learn(spark.createDataFrame(learnt, "text string, lang string"))
+        names, _ = filters.predict(pa.array(dutch[:known] + [r[1] for r in some_rows if r[1]], pa.string()))
+        assert names[:known] == ["nl"] * known
+        assert names.count("nl") == known
