@@ -54,6 +54,7 @@ FEW = 4096
 LEVELS = 4
 CHUNK = 4_000_000
 HELD = 65_536
+FINE = 10
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,8 +89,10 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def cells_of(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each cell of the domain, one or two on average; a power of two of cells."""
+    """How many shingles fall into each cell of the domain: a power of two of cells, with one or two shingles
+    each on average, or up to four times as many cells while these are ``2 ** FINE`` at most."""
     bits = max(2, (len(shingles) - 1).bit_length() - 1)
+    bits = max(bits, min(bits + 2, FINE))
     counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
