@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratepanel.operators import metrics, models, prep, stack
+from ratepanel.operators import intervals, metrics, models, prep, stack
 from ratepanel.operators.layout import with_position
 from ratepanel.plans import panels
 from ratepanel.plans.catalog.evaluation import META, ridge_sql
-from ratepanel.plans.catalog.registry import BASE, base_preds, base_rows, placed_rows, query, r, rounded, rs, with_sql
+from ratepanel.plans.catalog.registry import BASE, W0, base_preds, base_rows, placed_rows, query, r, rounded, rs, with_sql
 from ratepanel.session import settle
 
 INPUTS = ["lag_1", "SMA_5", "SMA_20", "EMA_12"]
@@ -147,6 +147,52 @@ def f10_bagged(spark: SparkSession, sf: str) -> DataFrame:
     return models.spread(models.sample_predictions(rows, fitted, ["key", "date"]), ["key", "date"])
 
 
+# residuals of the first half of each key's days; the second half is answered
+INTERVAL = (
+    f"""ahead AS (
+  SELECT *, lead(rate) OVER {W0} AS target FROM placed
+), halves AS (
+  SELECT *, row_number() OVER {W0} - 1 < floor(count(*) OVER (PARTITION BY key) * 0.5e0) AS early FROM ahead WHERE target IS NOT NULL
+), guesses AS ("""
+    + " UNION ALL ".join(f"SELECT key, date, early, target AS y, '{m}' AS model, {m} AS pred FROM halves" for m in models.BASELINES)
+    + f"""), by_key AS (
+  SELECT model, key, quantile_cont(abs(y - pred), {intervals.LEVEL}) AS own FROM guesses WHERE early
+  GROUP BY model, key HAVING count(*) >= {intervals.LEAST}
+), by_model AS (
+  SELECT model, quantile_cont(abs(y - pred), {intervals.LEVEL}) AS whole FROM guesses WHERE early GROUP BY model
+), answers AS (
+  SELECT g.key, g.date, g.model, g.y, g.pred, coalesce(own, whole) AS half_width FROM guesses g
+  JOIN by_model ON by_model.model = g.model LEFT JOIN by_key ON by_key.model = g.model AND by_key.key = g.key WHERE NOT early
+)"""
+)
+
+
+def interval_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts of the next day's rate in the second half of each key's days, with half widths from the first."""
+    rows = prep.split(prep.add_target(base_rows(spark, sf), "n_step_ahead"), 0.5, "per_key_time", out="early")
+    preds = settle(models.baseline_predictions(rows, ["key", "date", "early"], "target"))
+    return intervals.attach(preds.where(~F.col("early")), intervals.calibrate(preds.where("early"))).drop("early")
+
+
+@query(
+    "f10_calibrated_intervals",
+    with_sql(BASE, INTERVAL) + f"SELECT key, date, model, {r('pred - half_width', 'low')}, {r('pred + half_width', 'high')} FROM answers",
+)
+def f10_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    low, high = F.col("pred") - F.col("half_width"), F.col("pred") + F.col("half_width")
+    return rounded(interval_rows(spark, sf).select("key", "date", "model", low.alias("low"), high.alias("high")))
+
+
+@query(
+    "f10_interval_coverage",
+    with_sql(BASE, INTERVAL)
+    + f"""SELECT model, count(*) AS n, {r('avg(CASE WHEN abs(y - pred) <= half_width THEN 1e0 ELSE 0e0 END)', 'coverage')},
+    {r('avg(2 * half_width)', 'width')} FROM answers GROUP BY model""",
+)
+def f10_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(intervals.coverage(interval_rows(spark, sf)))
+
+
 # least squares on two inputs, refitted before each fold
 REFIT = """shifted AS (
   SELECT *, lead(rate) OVER (PARTITION BY key ORDER BY date) AS target FROM base WHERE lag_1 IS NOT NULL

@@ -6,15 +6,15 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratepanel.operators import models, prep
+from ratepanel.operators import intervals, models, prep
 from ratepanel.operators.layout import open_series
 from ratepanel.operators.stack import Ridge
 from ratepanel.plans.train import feature_frame
 from ratepanel.sources.rates import split_valid
-from ratepanel.sources.sinks import CATEGORIES, KEY_SCALERS, TARGET_SCALER, RunStore, load_params
+from ratepanel.sources.sinks import CATEGORIES, INTERVALS, KEY_SCALERS, TARGET_SCALER, RunStore, load_params
 
 STACKING = "stacking"
 DIGITS = 6
@@ -37,6 +37,8 @@ class Run:
     target_range: DataFrame
     keys: DataFrame
     base_models: dict[str, Model]
+    # none in runs saved without them
+    widths: DataFrame | None = None
 
     @property
     def available(self) -> list[str]:
@@ -59,6 +61,7 @@ def load_run(store: RunStore, run_id: str | None = None) -> Run:
         load_params(store.spark, base, TARGET_SCALER),
         load_params(store.spark, base, CATEGORIES),
         {name: store.load_model(name, run_id) for name in manifest["presets"]},
+        load_params(store.spark, base, INTERVALS) if "interval_level" in manifest else None,
     )
 
 
@@ -94,7 +97,8 @@ def score_batch(
     remove_outliers: bool = False,
     rows_per_block: int | None = None,
 ) -> DataFrame:
-    """One predicted rate per row of ``panel`` that has enough history.
+    """One predicted rate per row of ``panel`` that has enough history, with its uncertainty: half the
+    width of the interval that held ``interval_level`` of the run's test rows.
 
     ``history`` holds earlier rates of the same keys; it feeds lags and
     averages but is not scored, so short requests lose no rows.
@@ -115,7 +119,18 @@ def score_batch(
     ready = feature_frame(rows, cfg, remove_outliers).where(NEW)
     previous = F.col(PREVIOUS if mode in RETURN_MODES else "rate")
     scored = score_features(ready, run, model)
-    return scored.withColumn("predicted_rate", prep.to_rate(mode, F.col("pred"), previous)).drop("pred", PREVIOUS, NEW)
+    return with_uncertainty(scored, run, model, mode, previous).drop("pred", PREVIOUS, NEW)
+
+
+def with_uncertainty(scored: DataFrame, run: Run, model: str, mode: str, previous: Column) -> DataFrame:
+    """``predicted_rate`` and, if the run has intervals, ``uncertainty``, both as rates."""
+    scored = scored.withColumn("predicted_rate", prep.to_rate(mode, F.col("pred"), previous))
+    if run.widths is None:
+        return scored
+    widths = run.widths.where(F.col("model") == model).withColumnRenamed("model", "_model")
+    rows = intervals.attach(scored.withColumn("_model", F.lit(model)), widths, ("_model",), out="_half")
+    high, low = (prep.to_rate(mode, F.col("pred") + side * F.col("_half"), previous) for side in (1, -1))
+    return rows.withColumn("uncertainty", (high - low) / 2).drop("_model", "_half")
 
 
 def project(df: DataFrame, digits: int = DIGITS) -> DataFrame:

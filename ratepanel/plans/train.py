@@ -9,12 +9,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratepanel.operators import features, metrics, models, prep, stack
+from ratepanel.operators import features, intervals, metrics, models, prep, stack
 from ratepanel.operators.clean import iqr_filter
 from ratepanel.operators.cross import add_cross
 from ratepanel.operators.layout import with_position
 from ratepanel.session import settle
-from ratepanel.sources.sinks import CATEGORIES, KEY_SCALERS, TARGET_SCALER, RunStore, save_params, write_results
+from ratepanel.sources.sinks import CATEGORIES, INTERVALS, KEY_SCALERS, TARGET_SCALER, RunStore, save_params, write_results
 
 KEYS = ("key", "date", "rate", "target")
 KEY_VECTOR = "key_vec"
@@ -26,6 +26,8 @@ class TrainConfig:
     test_ratio: float = 0.2
     # positional cuts the (key, date) order, per_key_time each key's history
     split_mode: str = "per_key_time"
+    # share of later rows that the interval around a prediction holds
+    interval_level: float = intervals.LEVEL
     # parameters from training rows only; "all" also looks at test rows
     fit_on: str = "train"
     presets: Sequence[str] = ("boosted_a", "boosted_b")
@@ -110,16 +112,18 @@ def train_run(panel: DataFrame, store: RunStore, run_id: str, cfg: TrainConfig |
     parts = []
     for name, part in scored.items():
         part = prep.invert_minmax(part, ready.target_range, "pred", "target")
-        parts.append(part.select("pos", F.lit(name).alias("model"), F.col("y_true").alias("y"), "pred"))
+        parts.append(part.select("pos", "key", F.lit(name).alias("model"), F.col("y_true").alias("y"), "pred"))
     long = parts[0]
     for part in parts[1:]:
         long = long.unionByName(part)
+    long = settle(long)
     table = settle(metrics.compare(long))
 
     base = store.path(run_id)
     save_params(ready.robust, base, KEY_SCALERS)
     save_params(ready.target_range, base, TARGET_SCALER)
     save_params(ready.keys, base, CATEGORIES)
+    save_params(intervals.calibrate(long, cfg.interval_level), base, INTERVALS)
     write_results(table, base)
     store.log_metrics(run_id, table)
     store.write_manifest(
@@ -129,6 +133,7 @@ def train_run(panel: DataFrame, store: RunStore, run_id: str, cfg: TrainConfig |
             "scaled": ready.scaled,
             "presets": list(cfg.presets),
             "features": cfg.features,
+            "interval_level": cfg.interval_level,
             "meta": {"columns": learner.columns, "weights": learner.weights, "intercept": learner.intercept},
         },
     )

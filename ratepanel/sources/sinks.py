@@ -21,6 +21,7 @@ LOW_IMPORTANCE = "features_low_importance"
 KEY_SCALERS = "per_key_scalers"
 TARGET_SCALER = "scaler_y"
 CATEGORIES = "key_categories"
+INTERVALS = "intervals"
 RUN_ID_FORMAT = "run_%Y%m%d_%H%M%S"
 
 

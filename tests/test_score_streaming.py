@@ -48,7 +48,7 @@ def test_every_model_scores_every_row_with_history(spark, sf, run):
     want = features.drop_warm_up(features.add_features(panel, CFG.features)).count()
     for name in run.available:
         out = score.score_batch(panel, run, name)
-        assert out.count() == want and out.where("predicted_rate IS NULL").count() == 0
+        assert out.count() == want and out.where("predicted_rate IS NULL OR uncertainty IS NULL OR uncertainty <= 0").count() == 0
     with pytest.raises(ValueError):
         score.score_batch(panel, run, "net")
 
