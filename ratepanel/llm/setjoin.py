@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -312,21 +312,20 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int =
                 for s in shingle_sets(list(byte_texts(batch.column("text"))), width):
                     if len(s) and (cls := class_of(s)) not in seen:
                         seen.add(cls)
-                        found[cls] = s.tobytes()
-                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "shingles"])
+                        found[cls] = s
+                ends = np.cumsum([0, *map(len, found.values())])
+                values = np.concatenate([np.zeros(0, np.uint64), *found.values()])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(values))
+                yield pa.record_batch([pa.array(list(found), pa.int64()), lists], ["cls", "shingles"])
 
-    rows = docs.where(F.col("text").isNotNull()).where(holds(text_key())).select("text").mapInArrow(run, "cls long, shingles binary")
+    rows = docs.where(F.col("text").isNotNull()).where(holds(text_key())).select("text").mapInArrow(run, "cls long, shingles array<long>")
     return settle(rows.groupBy("cls").agg(F.min("shingles").alias("shingles")))
 
 
-@F.arrow_udf(T.BooleanType())
-def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a, b):
-        left, right = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(left) + len(right) - both))
-    return pa.array(out, pa.bool_())
+def linked(a: str, b: str) -> Column:
+    """Whether two sets are similar enough."""
+    both = F.size(F.array_intersect(a, b)).cast("long")
+    return both * 100 >= (F.size(a) + F.size(b) - both) * PERCENT
 
 
 def checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -355,8 +354,8 @@ def divided(docs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, wid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cls, data in zip(batch.column("cls").to_pylist(), batch.column("shingles").to_pylist()):
-                found = signatures(np.frombuffer(data, dtype=np.uint64), seed)
+            for cls, data in zip(batch.column("cls").to_pylist(), batch.column("shingles")):
+                found = signatures(data.values.to_numpy().view(np.uint64), seed)
                 yield pa.record_batch([pa.array(np.full(len(found), cls)), signed(found)], ["cls", "sign"])
 
     wanted = rows.select("cls").distinct()
