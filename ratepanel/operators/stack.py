@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ def oof(
 ) -> DataFrame:
     """Long (position, ids, fold, model, y, pred) on the held-out slices.
 
-    A model that fails on a fold is left out of that fold. ``df`` is read once
+    A model that refuses the rows of a fold is left out of that fold; failed Spark jobs, such as
+    those of lost executors, and lack of memory are raised. ``df`` is read once
     per fold and model: settle or persist it before.
     """
     marked = folds(df, k, position)
@@ -54,7 +56,9 @@ def oof(
         for name, trainer in trainers.items():
             try:
                 scored = trainer(fit_rows, val_rows)
-            except Exception as error:  # noqa: BLE001 - any failed fit skips its fold
+            except (Py4JJavaError, MemoryError):
+                raise
+            except Exception as error:  # noqa: BLE001 - a fit that refuses its rows skips the fold
                 log.warning("fold %d failed for %s: %s", f, name, error)
                 continue
             parts.append(

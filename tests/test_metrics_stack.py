@@ -71,6 +71,16 @@ def test_folds(spark, n, k):
     assert got == split_by_rule(n, k)
 
 
+def test_failed_jobs_are_raised(spark):
+    df = spark.range(24).selectExpr("id AS pos", "id * 1.0D AS target", "id * 1.0D AS x")
+
+    def lost(fit_rows, val_rows):
+        raise MemoryError("no room")
+
+    with pytest.raises(MemoryError):
+        stack.oof(df, {"x": models.column_trainer("x"), "lost": lost}, 5)
+
+
 def test_out_of_fold_and_failures(spark):
     n = 24
     df = spark.range(n).select(F.col("id").alias("pos"), F.col("id").cast("double").alias("target"), (F.col("id") + 1.0).alias("x"))
