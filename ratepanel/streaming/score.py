@@ -27,15 +27,20 @@ def score_stream(
 
     Spark's state store keeps, per key, as many rates as a feature can look back; a batch
     touches the keys it brings. Rows at or before the newest date of their key go to ``late``.
+
+    A batch is written beside the checkpoint, in place of the one before it, and scored from there in the session
+    of ``stream``: a stream's own session has no adaptive execution, so every shuffle would have a task a partition.
     """
-    use_state_store(stream.sparkSession)
+    spark = stream.sparkSession
+    use_state_store(spark)
+    arrived = f"{checkpoint.rstrip('/')}-arrived"
     need = look_back(run.manifest["features"]) + 1
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch.write.mode("overwrite").parquet(arrived)
+        batch = spark.read.schema(batch.schema).parquet(arrived)
         rows = {kind: batch.where(F.col("kind") == kind).drop("kind") for kind in ("new", "past", "late")}
         sink.write(project(score_batch(rows["new"], run, model, rows["past"])), batch_id)
         late.write(rows["late"], batch_id)
-        batch.unpersist()
 
     return with_past(stream, need, idle=idle).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ratepanel.operators import features
 from ratepanel.operators.ema import ema
 from ratepanel.plans import panels, score, train
+from ratepanel.plans.catalog import scoring
 from ratepanel.sources.sinks import RunStore
 from ratepanel.streaming.bars import bars_stream
 from ratepanel.streaming.ema import continue_ema, ema_stream
@@ -195,6 +196,24 @@ def test_past_rows_come_with_new_ones(spark, panel, tmp_path):
     ]
 
 
+def test_state_has_a_store_for_each_core(spark, panel, tmp_path):
+    """However many partitions shuffles have; the tasks of a batch's scoring do not grow with them either."""
+    df = panel({"A": [1.0, 2, 4, 8, 16], "B": [5.0, 3, 1, 2, 9]})
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    use_state_store(spark)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        stream = spark.readStream.schema("key string, date date, rate double").parquet(f"{tmp_path}/in")
+        writer = with_past(stream, 2).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        scoring.run_all(spark, writer.option("checkpointLocation", f"{tmp_path}/check"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert len(list((tmp_path / "check/state/0").glob("[0-9]*"))) == spark.sparkContext.defaultParallelism == 8
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+
+
 def test_ema_state_drops_rows_already_counted(spark, panel):
     df = panel({"A": [1, 2, 3, 4]})
     empty = spark.createDataFrame([], "key string, last_date date, e double")
