@@ -34,6 +34,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,8 @@ from ratepanel.session import settle, shared_folder
 
 FRAME_BYTES = 262_144
 LEVEL = 3
-MEMO = 200_000
+CHUNK_BYTES = 16_000_000
+MEMO = 300_000
 END = 2
 
 # Fixed values of the zstandard seekable format.
@@ -67,12 +69,49 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 SPACE = chr(ALPHABET[32])
 
+NOT_HELD = b"?"
+
 UNSAFE = re.compile(r" \s")
 UNSAFE_LINE = re.compile(r"\n(?:(?<=\s\n)|[^\S ]| $)")
 WHITE = re.compile(r"\s")
 BEFORE_WORD = re.compile(r" (?=\S)")
 
 
+def gathered(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``tokens``, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(tokens)) < 2**31 else np.int64
+    places = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    places += np.arange(total, dtype=kind)
+    return tokens[places]
+
+
+class Stems:
+    """Words and their ids, all in one array; row 0 is for words that have none here."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.tokens = np.zeros(0, "<u4")
+        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def ids(self, row: int) -> bytes:
+        """The ids of a row; ``NOT_HELD`` for -1."""
+        return NOT_HELD if row < 0 else self.tokens[self.starts[row] : self.starts[row] + self.sizes[row]].tobytes()
+
+    def add(self, words: list[str], packed: list[bytes | None]) -> np.ndarray:
+        """New words with their ids; their rows."""
+        known = [ids for ids in packed if ids is not None]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        rows = np.zeros(len(words), np.int64)
+        rows[[ids is not None for ids in packed]] = np.arange(len(known)) + len(self.sizes)
+        self.rows.update(zip(words, rows.tolist()))
+        self.starts = np.concatenate((self.starts, len(self.tokens) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.tokens = np.concatenate((self.tokens, np.frombuffer(b"".join(known), "<u4")))
+        return rows
+
+
 class Encoder:
     """Texts to the bytes of their ids, by memos of words.
 
@@ -93,7 +132,9 @@ class Encoder:
         added = [t["content"] for t in parsed.get("added_tokens", [])]
         apart = all(any(not c.isalpha() and c not in MARKS and not c.isspace() for c in t) for t in added)
         self.by_word = usual and not parsed.get("normalizer") and apart and not any(WHITE.search(t) for t in added)
-        # Ids of letters, by whether a space comes before: of the last chunks, and of those before them.
+        # Ids of letters in texts that Arrow splits: of the last chunks, and of those before them.
+        self.stems, self.before = Stems(), Stems()
+        # Of letters in other texts, by whether a space comes before.
         self.recent: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
         self.older: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
         self.others: dict[tuple[bool, str], bytes] = {}
@@ -149,53 +190,74 @@ class Encoder:
             return self.line.join([self._word(x, spaced and not i) for i, x in enumerate(lines)])
         return self._other(word, spaced)
 
-    def _known(self, words: set[str], spaced: bool) -> dict[str, bytes]:
-        for kind in (True, False):
-            if len(self.recent[kind]) > MEMO:
-                self.older[kind], self.recent[kind] = self.recent[kind], {}
-        recent, marks, out = self.recent[spaced].get, {"": b""}, {}
-        for word in words:
-            letters = word.rstrip(MARKS)
-            ids = recent(letters)
-            if ids is None:
-                if not letters.isalpha():
-                    out[word] = self._odd(word, spaced)
-                    continue
-                ids = self._letters(letters, spaced)
-            if len(letters) < len(word):
-                after = word[len(letters) :]
-                more = marks.get(after)
-                if more is None:
-                    more = marks[after] = self._other(after, False)
-                ids += more
-            out[word] = ids
-        return out
+    def _stem(self, stem: str) -> bytes | None:
+        """The ids of letters alone, after a line break if they begin with one; none of anything else."""
+        spaced = stem[:1] != "\n"
+        letters = stem if spaced else stem[1:]
+        if not letters.isalpha():
+            return None
+        if letters.isascii():
+            ids = [t.id for t in self.model.tokenize(SPACE + letters if spaced else letters)]
+        else:
+            ids = [t.id for t in self.model.tokenize((" " + letters if spaced else letters).encode().decode("latin-1").translate(ALPHABET))]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed if spaced else self.line + packed
+
+    def _rows(self, stems: list[str]) -> np.ndarray:
+        """The places of distinct stems in ``stems``, the table of the last chunks; 0 if more than letters."""
+        if len(self.stems.rows) > MEMO:
+            self.before, self.stems = self.stems, Stems()
+        rows = np.fromiter(map(self.stems.rows.get, stems, repeat(-1)), np.int64, len(stems))
+        missing = np.flatnonzero(rows < 0)
+        names = [stems[i] for i in missing.tolist()]
+        packed = [self.before.ids(row) if row else None for row in map(self.before.rows.get, names, repeat(-1))]
+        packed = [self._stem(name) if ids == NOT_HELD else ids for name, ids in zip(names, packed)]
+        rows[missing] = self.stems.add(names, packed)
+        return rows
 
     def _apart(self, text: str) -> bytes:
         """A text in which white space meets white space."""
+        for kind in (True, False):
+            if len(self.recent[kind]) > MEMO:
+                self.older[kind], self.recent[kind] = self.recent[kind], {}
         first, *later = BEFORE_WORD.split(text)
         return b"".join((self._odd(first, False), *[self._odd(word, True) for word in later], self.end))
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        """Texts with nothing but single spaces and line breaks between words; Arrow splits them and names the
-        distinct words, those after a line break with the break before them. So is the first word of
-        a text, whose break is then left out."""
+        """Texts with nothing but single spaces and line breaks between words; Arrow splits them, names the
+        distinct words, those after a line break with the break before them, and parts them from the marks at
+        their end. So is the first word of a text, whose break is then left out."""
         lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n")
         nothing, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
         split = pc.split_pattern(pc.binary_join_element_wise(line, lines, nothing), " ")
-        words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        first = self._known({name[1:] for name in names if name[:1] == "\n"}, False)
-        later = self._known({name for name in names if name[:1] != "\n"}, True)
-        ids = [self.line + first[name[1:]] if name[:1] == "\n" else later[name] for name in names]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
+        words, stops = split.flatten().dictionary_encode(), split.offsets.to_numpy()[1:]
+        del lines, split
+        names = words.dictionary
+        letters = pc.utf8_rtrim(names, MARKS)
+        cut = pc.subtract(pc.binary_length(names), pc.binary_length(letters)).to_numpy()
+        letters = letters.dictionary_encode()
+        rows = self._rows(letters.dictionary.to_pylist())[letters.indices.to_numpy()]
+        # Of each name what follows its letters: nothing, marks, or all of a name that is more than letters and marks.
+        after, pieces = np.zeros(len(names), np.int64), [b""]
+        odd = np.flatnonzero(rows == 0)
+        after[odd] = np.arange(1, len(odd) + 1)
+        for name in names.take(pa.array(odd)).to_pylist():
+            pieces.append(self.line + self._odd(name[1:], False) if name[:1] == "\n" else self._odd(name, True))
+        marked = np.flatnonzero((rows > 0) & (cut > 0))
+        marks = [name[-n:] for name, n in zip(names.take(pa.array(marked)).to_pylist(), cut[marked].tolist())]
+        number = {m: i for i, m in enumerate(dict.fromkeys(marks), start=len(pieces))}
+        after[marked] = np.fromiter(map(number.get, marks), np.int64, len(marks))
+        pieces += [self._other(m, False) for m in number]
+        more = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        begin = len(self.stems.tokens) + np.cumsum(more) - more
+        tokens = np.concatenate((self.stems.tokens, np.frombuffer(b"".join(pieces), "<u4")))
+        sizes = np.stack((self.stems.sizes[rows], more[after]), axis=1)
+        tokens = gathered(tokens, np.stack((self.stems.starts[rows], begin[after]), axis=1).ravel(), sizes.ravel())
+        sizes = sizes.sum(axis=1)
         which = words.indices.to_numpy()
         taken = sizes[which]
-        ends = np.cumsum(taken)
-        places = np.arange(ends[-1]) + np.repeat(starts[which] - ends + taken, taken)
-        tokens = np.frombuffer(b"".join(ids), dtype="<u4")[places]
-        ends = ends[split.offsets.to_numpy()[1:] - 1]
+        tokens = gathered(tokens, (np.cumsum(sizes) - sizes)[which], taken)
+        ends = np.cumsum(taken)[stops - 1]
         begins = np.r_[0, ends[:-1]] + len(self.line) // 4
         return [tokens[a:b].tobytes() + self.end for a, b in zip(begins, ends)]
 
@@ -329,7 +391,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         writer, out, encoder = None, None, None
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, limit=CHUNK_BYTES):
                 if not batch.num_rows:
                     continue
                 if writer is None:

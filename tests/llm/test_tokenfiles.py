@@ -110,3 +110,18 @@ def test_other_definitions_encode_whole():
         encoder = tokenfiles.Encoder(source.read())
     ids = np.frombuffer(encoder.encode(["Hello  World, again"])[0], dtype="<u4")
     assert ids.tolist() == Tokenizer.from_file(path).encode("Hello  World, again", add_special_tokens=False).ids + [2]
+
+
+def test_words_are_looked_up_by_their_letters(tokenizer, monkeypatch):
+    """Once a chunk, whatever marks follow them, and not again while one of the last two tables has them."""
+    with open(PATH, encoding="utf-8") as source:
+        encoder = tokenfiles.Encoder(source.read())
+    monkeypatch.setattr(tokenfiles, "MEMO", 6)
+    found, stem = [], encoder._stem
+    monkeypatch.setattr(encoder, "_stem", lambda word: found.append(word) or stem(word))
+    chunks = [["one two, two. two!\ntwo; 3x", "... one? ünï, it's (a) a). --"], ["six seven\neight (nine) ten", "two three"], ["one one, eleven"], ["two"]]
+    for texts in chunks:
+        ids = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert ids == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert found.count("two") == found.count("\ntwo") == 1
+    assert found.count("\none") == 2  # its table is the third last by then
