@@ -121,7 +121,8 @@ def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
         end_log = 0.0 if end_at is None else float(logs[end_at])
         for whole in batches:
             for batch in chunks(whole):
-                units, sums, n_known, others, slotted = [], [], [], [], []
+                units, sums, n_known, slotted = [], [], [], []
+                other, times, sizes = [], [], [0]
                 for text in byte_texts(batch.column("text")):
                     words = text.lower().split()
                     at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
@@ -129,19 +130,24 @@ def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
                     inside = at >= 0
                     out[:-1][inside] = known.units[at[inside]]
                     rest = np.flatnonzero(~inside)
-                    unknown = [words[i] for i in rest]
-                    out[rest] = [known.n_units + zlib.crc32(w) % known.n_slots for w in unknown]
+                    unknown = [words[i] for i in rest.tolist()]
                     out[-1] = end
-                    units.append(out.tobytes())
                     sums.append(float(logs[at[inside]].sum()) + end_log)
                     n_known.append(int(inside.sum()) + (end_at is not None))
                     distinct = Counter(unknown)
-                    others.append([{"word": w, "n": n} for w, n in distinct.items()])
-                    number = {w: -i for i, w in enumerate(distinct, start=1)}
-                    at[rest] = [number[w] for w in unknown]
+                    other += distinct
+                    times += distinct.values()
+                    sizes.append(len(other))
+                    number = {w: i for i, w in enumerate(distinct)}
+                    place = np.fromiter(map(number.get, unknown), np.int32, len(unknown))
+                    out[rest] = np.array([known.n_units + zlib.crc32(w) % known.n_slots for w in distinct], np.uint16)[place]
+                    at[rest] = -1 - place
+                    units.append(out.tobytes())
                     slotted.append(at[out[:-1] >= known.n_units].tobytes())
+                pairs = pa.StructArray.from_arrays([pa.array(other, pa.binary()), pa.array(times, pa.int32())], fields=list(kind.value_type))
+                others = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
                 columns = [batch.column(c) for c in names[:3]] + [pa.array(units, pa.binary()), pa.array(sums, pa.float64())]
-                yield pa.record_batch([*columns, pa.array(n_known, pa.int64()), pa.array(others, kind), pa.array(slotted, pa.binary())], names)
+                yield pa.record_batch([*columns, pa.array(n_known, pa.int64()), others, pa.array(slotted, pa.binary())], names)
 
     schema = (
         "row long, doc_id long, held_out boolean, units binary, log_counts double, n_known long, "
@@ -212,7 +218,10 @@ def gather(texts: DataFrame, classes: np.ndarray, n_classes: int, end: int) -> D
     while left > 1:
         left = -(-left // MERGE)
         parts = parts.withColumn("part", F.floor(F.col("part") / MERGE))
-        parts = parts.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(merge, schema)
+        parts = parts.repartition("block", "part").sortWithinPartitions("block", "part")
+        # The last step finishes at once: two steps in a row would hold two Python workers a task.
+        if left > 1:
+            parts = parts.mapInArrow(merge, schema)
     return settle(parts.mapInArrow(finish, "block long, counts binary"))
 
 
@@ -419,16 +428,24 @@ def exchange_many(counts: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> n
     left_after[units, own] = np.maximum(0.0, after[units, own] - itself)
     left_before[units, own] = np.maximum(0.0, before[units, own] - itself)
     gain = np.zeros((len(counts), n))
-    for left, whole, other, matrix in ((left_after, after, before, bigrams.T), (left_before, before, after, bigrams)):
+    usual = x_log_x(bigrams)
+    for left, whole, other, matrix, logs in (
+        (left_after, after, before, bigrams.T, usual.T),
+        (left_before, before, after, bigrams, usual),
+    ):
         unit, to = np.nonzero(left)
-        now = matrix[to].copy()  # by class: the counts of its pairs with ``to``, without the unit's own
-        now[np.arange(len(unit)), own[unit]] -= whole[unit, to]
+        now = matrix[to]  # by class: the counts of its pairs with ``to``, without the unit's own
+        each = np.arange(len(unit))
+        now[each, own[unit]] -= whole[unit, to]
         same = np.flatnonzero(to == own[unit])
         now[same] -= other[unit[same]]
         now[same, own[unit[same]]] += itself[unit[same]]
         np.maximum(now, 0.0, out=now)
-        more = x_log_x(now + left[unit, to][:, None]) - x_log_x(now)
-        more[np.arange(len(unit)), to] = 0.0
+        before_now = logs[to]
+        before_now[each, own[unit]] = x_log_x(now[each, own[unit]])
+        before_now[same] = x_log_x(now[same])
+        more = x_log_x(now + left[unit, to][:, None]) - before_now
+        more[each, to] = 0.0
         edges = np.searchsorted(unit, units)
         has = np.diff(np.r_[edges, len(unit)]) > 0
         if has.any():
@@ -487,18 +504,36 @@ def with_paths(texts: DataFrame, model: Classes, use: bool) -> DataFrame:
     return texts.withColumn("path", run("units", "rest", given))
 
 
-def path_bigrams(paths: DataFrame, n_classes: int, end: int) -> np.ndarray:
-    """How often each class follows each in the training rows' paths."""
+def path_bigrams(rows: DataFrame, n_classes: int, end: int, model: Classes | None = None) -> np.ndarray:
+    """How often each class follows each in the training rows' paths; with ``model``, of texts that have none yet."""
+    shared = rows.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
+
+    def paths(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        if shared.value is None:
+            for path in batch.column("path").to_pylist():
+                yield np.frombuffer(path, np.uint16)
+            return
+        model = Classes(**shared.value)
+        for units, rest in zip(batch.column("units").to_pylist(), batch.column("rest").to_pylist()):
+            yield model.path(np.frombuffer(units, np.uint16), np.frombuffer(rest, np.int32), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(n_classes * n_classes)
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                of = np.frombuffer(path, np.uint16).astype(np.int64)
-                found += np.bincount(np.r_[end, of[:-1]] * n_classes + of, minlength=len(found))
+            held, size = [], 0
+            for path in paths(batch):
+                of = path.astype(np.int64)
+                held.append(np.r_[end, of[:-1]] * n_classes + of)
+                size += len(of)
+                if size > 1_000_000:
+                    found += np.bincount(np.concatenate(held), minlength=len(found))
+                    held, size = [], 0
+            if held:
+                found += np.bincount(np.concatenate(held), minlength=len(found))
         yield pa.record_batch([pa.array([found.tobytes()], pa.binary())], ["found"])
 
-    rows = paths.where(~F.col("held_out")).select("path").mapInArrow(run, "found binary").collect()
+    columns = ["path"] if model is None else ["units", "rest"]
+    rows = rows.where(~F.col("held_out")).select(*columns).mapInArrow(run, "found binary").collect()
     return sum((np.frombuffer(r["found"]) for r in rows), np.zeros(n_classes * n_classes)).reshape(n_classes, n_classes)
 
 
@@ -517,7 +552,7 @@ def settle_words(
     for word, to in move_words(gather_words(texts, model, n_classes, False, names), dictionary, model, bigrams).collect():
         words[dictionary.words[bytes(word)]] = to
     moved = Classes(classes, words, n_units, end)
-    after = path_bigrams(with_paths(texts, moved, False), n_classes, end)
+    after = path_bigrams(texts, n_classes, end, moved)
     found.append(likelihood(after))
     if found[-1] >= found[-2]:
         model, bigrams = moved, after

@@ -84,6 +84,22 @@ def test_rounds_gather_every_pair(spark):
     assert max(found) > found[0] and brown.likelihood(matrix) == pytest.approx(max(found))
 
 
+def test_a_task_has_one_python_worker(spark, monkeypatch, capsys):
+    """Steps in Python are parted by a shuffle, and paths are counted in the step that finds them."""
+    monkeypatch.setattr(brown, "settle", lambda df: df)
+    unit = [0, 1, 2, 3, 2, 1]
+    rows = [(i, bytearray(np.array(unit, np.uint16).tobytes()), bytearray(np.array([0, 1, 0], np.int32).tobytes()), i == 3) for i in range(8)]
+    texts = spark.createDataFrame(rows, "row long, units binary, rest binary, held_out boolean").repartition(4)
+    model = brown.Classes(np.arange(8) % 3, np.array([2, 1]), 2, 1)
+    want = brown.path_bigrams(brown.with_paths(texts, model, False), 3, 1)
+    assert np.array_equal(brown.path_bigrams(texts, 3, 1, model), want) and want.sum() == 7 * len(unit)
+    capsys.readouterr()
+    brown.gather(texts, np.arange(300) % 6, 6, 7).explain()
+    steps = [line for line in capsys.readouterr().out.splitlines() if line.strip()]
+    arrow = ["MapInArrow" in line for line in steps]
+    assert sum(arrow) == 2 and not any(a and b for a, b in zip(arrow, arrow[1:]))
+
+
 def test_probabilities_add_up(some_docs):
     bigrams = np.array([[3.0, 1.0], [0.0, 0.0]])
     steps = brown.transitions(bigrams, np.array([4.0, 0.0]))
