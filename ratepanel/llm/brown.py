@@ -32,18 +32,18 @@ classes equally likely.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratepanel.llm.common import byte_texts, chunks, remainder
+from ratepanel.llm.common import chunks, remainder
 from ratepanel.session import settle
 
 CLASSES = 64
@@ -57,28 +57,77 @@ BLOCK = 64
 MERGE = 16
 TOGETHER = 256
 FEW = 1000
+FEW_BYTES = 2_000_000
 HELD_WORDS = 500_000
+OFTEN = 1000
 END = b""
 
 
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts in a row, in lower case, and how many each text has. Arrow splits at
+    the six ASCII white-space bytes and lowers A-Z alone."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    upto = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    return words.filter(real).dictionary_encode(), np.diff(upto[split.offsets.to_numpy()])
+
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values that hold so many of ``values`` each."""
+    edges = np.r_[0, np.cumsum(sizes)] * values.itemsize
+    if edges[-1] >= 2**31:
+        raise OverflowError("a chunk's values exceed 2 GB")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values in a column of binary values, in a row, and how many each holds."""
+    column = column.cast(pa.large_binary())
+    edges = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    size = np.dtype(kind).itemsize
+    n = int(edges[-1] - edges[0]) // size
+    return np.frombuffer(column.buffers()[2], kind, n, int(edges[0])) if n else np.zeros(0, kind), np.diff(edges) // size
+
+
+def listed(column: pa.Array) -> list:
+    """As ``to_pylist``, without an Arrow scalar for each value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """In the smallest unsigned type that holds them all; ``len`` tells which."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int64)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``word, n`` over all texts; the end token is the empty word."""
 
-    def rows(found: Counter) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+    def together(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sums = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        return pa.record_batch([sums["word"].combine_chunks(), sums["n_sum"].combine_chunks()], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held, size = [], 0
         for whole in batches:
             for batch in chunks(whole):
-                for text in byte_texts(batch.column("text")):
-                    found.update(text.lower().split())
-                found[END] += batch.num_rows
-                if len(found) > HELD_WORDS:
-                    yield rows(found)
-                    found = Counter()
-        if found:
-            yield rows(found)
+                words, _ = split_words(batch.column("text"))
+                n = np.r_[np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)), batch.num_rows]
+                names = pa.concat_arrays([words.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+                held.append(pa.record_batch([names, pa.array(n, pa.int64())], ["word", "n"]))
+                size += len(names)
+                if size > 2 * HELD_WORDS:
+                    held = [together(held)]
+                    size = held[0].num_rows
+                    if size > HELD_WORDS:
+                        yield held[0]
+                        held, size = [], 0
+        if held:
+            yield together(held)
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -96,6 +145,14 @@ class Dictionary:
     @classmethod
     def of(cls, counted: DataFrame, known: int, n_units: int, n_slots: int) -> Dictionary:
         short = counted.where(F.length("word") <= LONGEST)
+        # Words too rare to be among the most frequent need no sorting.
+        often, least = 0, 0
+        for n, words in short.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).count().orderBy(F.col("n").desc()).collect():
+            often += words
+            if often > known:
+                least = n
+                break
+        short = short.where((F.col("n") >= least) | (F.length("word") == 0))
         top = short.orderBy((F.length("word") == 0).desc(), F.col("n").desc(), "word").limit(known).toArrow()
         words = top.column("word").to_pylist()
         units = np.array([i if i < n_units else n_units + zlib.crc32(w) % n_slots for i, w in enumerate(words)], dtype=np.uint16)
@@ -112,7 +169,7 @@ def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
     a slot its word: its place in the dictionary, or -1, -2, ... in the row's other words."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(dictionary))
     kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-    names = ["row", "doc_id", "held_out", "units", "log_counts", "n_known", "others", "rest"]
+    given = ["row", "doc_id", "held_out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(**shared.value)
@@ -121,33 +178,36 @@ def read_texts(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
         end_log = 0.0 if end_at is None else float(logs[end_at])
         for whole in batches:
             for batch in chunks(whole):
-                units, sums, n_known, slotted = [], [], [], []
-                other, times, sizes = [], [], [0]
-                for text in byte_texts(batch.column("text")):
-                    words = text.lower().split()
-                    at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
-                    out = np.empty(len(words) + 1, dtype=np.uint16)
-                    inside = at >= 0
-                    out[:-1][inside] = known.units[at[inside]]
-                    rest = np.flatnonzero(~inside)
-                    unknown = [words[i] for i in rest.tolist()]
-                    out[-1] = end
-                    sums.append(float(logs[at[inside]].sum()) + end_log)
-                    n_known.append(int(inside.sum()) + (end_at is not None))
-                    distinct = Counter(unknown)
-                    other += distinct
-                    times += distinct.values()
-                    sizes.append(len(other))
-                    number = {w: i for i, w in enumerate(distinct)}
-                    place = np.fromiter(map(number.get, unknown), np.int32, len(unknown))
-                    out[rest] = np.array([known.n_units + zlib.crc32(w) % known.n_slots for w in distinct], np.uint16)[place]
-                    at[rest] = -1 - place
-                    units.append(out.tobytes())
-                    slotted.append(at[out[:-1] >= known.n_units].tobytes())
-                pairs = pa.StructArray.from_arrays([pa.array(other, pa.binary()), pa.array(times, pa.int32())], fields=list(kind.value_type))
-                others = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
-                columns = [batch.column(c) for c in names[:3]] + [pa.array(units, pa.binary()), pa.array(sums, pa.float64())]
-                yield pa.record_batch([*columns, pa.array(n_known, pa.int64()), others, pa.array(slotted, pa.binary())], names)
+                words, sizes = split_words(batch.column("text"))
+                distinct = words.dictionary.cast(pa.binary())
+                names, code = listed(distinct), words.indices.to_numpy()
+                own = np.fromiter(map(get, names, repeat(-1)), np.int32, len(names))
+                unit = np.empty(len(names), np.uint16)
+                unit[own >= 0] = known.units[own[own >= 0]]
+                unit[own < 0] = [known.n_units + zlib.crc32(names[i]) % known.n_slots for i in np.flatnonzero(own < 0).tolist()]
+                row, at = np.repeat(np.arange(len(sizes)), sizes), own[code]
+                inside = at >= 0
+                values, n_inside = logs[at[inside]], np.bincount(row[inside], minlength=len(sizes))
+                edges = np.cumsum(n_inside).tolist()
+                sums = [float(values[a:b].sum()) + end_log for a, b in zip([0, *edges], edges)]
+                # Other words, numbered in each row as they first occur.
+                rest = np.flatnonzero(~inside)
+                _, first, same, times = np.unique(row[rest] * len(names) + code[rest], return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(first)
+                number = np.empty(len(order), np.int64)
+                number[order] = np.arange(len(order))
+                first = rest[first[order]]
+                begins = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(sizes)))]
+                at[rest] = begins[row[rest]] - 1 - number[same]
+                pairs = pa.StructArray.from_arrays([distinct.take(pa.array(code[first])), pa.array(times[order], pa.int32())], fields=list(kind.value_type))
+                others = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pairs)
+                out = np.full(len(code) + len(sizes), end, np.uint16)
+                out[np.arange(len(code)) + row] = unit[code]
+                slotted = unit[code] >= known.n_units
+                columns = [batch.column(c) for c in given] + [packed(out, sizes + 1), pa.array(sums, pa.float64())]
+                columns += [pa.array(n_inside + (end_at is not None), pa.int64()), others]
+                columns.append(packed(at[slotted], np.bincount(row[slotted], minlength=len(sizes))))
+                yield pa.record_batch(columns, [*given, "units", "log_counts", "n_known", "others", "rest"])
 
     schema = (
         "row long, doc_id long, held_out boolean, units binary, log_counts double, n_known long, "
@@ -174,9 +234,9 @@ def gather(texts: DataFrame, classes: np.ndarray, n_classes: int, end: int) -> D
             for start in range(0, len(units), 1_000_000):
                 now = units[start : start + 1_000_000].astype(np.int64)
                 before = np.r_[units[start - 1] if start else end, now[:-1]].astype(np.int64)
-                sums += np.bincount(before * width + of[now], minlength=total)
-                sums += np.bincount(now * width + n_classes + of[before], minlength=total)
-                sums += np.bincount(now[now == before] * width + 2 * n_classes, minlength=total)
+                again = now[now == before]
+                places = np.concatenate([before * width + of[now], now * width + n_classes + of[before], again * width + 2 * n_classes])
+                sums += np.bincount(places, minlength=total)
         edges = range(0, total, BLOCK * width)
         part = TaskContext.get().partitionId()
         for block, start in enumerate(edges):
@@ -185,8 +245,8 @@ def gather(texts: DataFrame, classes: np.ndarray, n_classes: int, end: int) -> D
                 yield sparse(block, part, own)
 
     def sparse(block: int, part: int, own: np.ndarray) -> pa.RecordBatch:
-        places = np.flatnonzero(own).astype(np.int32)
-        row = {"block": block, "part": part, "places": places.tobytes(), "counts": own[places].tobytes()}
+        places = np.flatnonzero(own)
+        row = {"block": block, "part": part, "n": len(places), "steps": narrow(np.diff(places, prepend=0)), "counts": narrow(own[places])}
         return pa.RecordBatch.from_pylist([row])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -198,7 +258,7 @@ def gather(texts: DataFrame, classes: np.ndarray, n_classes: int, end: int) -> D
                     if key:
                         yield *key, own
                     key, own = (row["block"], row["part"]), np.zeros(BLOCK * width, dtype=np.int64)
-                own[np.frombuffer(row["places"], dtype=np.int32)] += np.frombuffer(row["counts"], dtype=np.int64)
+                own[np.cumsum(widened(row["steps"], row["n"]))] += widened(row["counts"], row["n"])
         if key:
             yield *key, own
 
@@ -210,7 +270,7 @@ def gather(texts: DataFrame, classes: np.ndarray, n_classes: int, end: int) -> D
         for block, _, own in added(batches):
             yield pa.RecordBatch.from_pylist([{"block": block, "counts": own.tobytes()}])
 
-    schema = "block long, part long, places binary, counts binary"
+    schema = "block long, part long, n long, steps binary, counts binary"
     rows = texts.where(~F.col("held_out")).select("units")
     parts = rows.mapInArrow(count, schema)
     # A tree, so that no task reads what more than MERGE tasks have counted of a block.
@@ -334,21 +394,27 @@ class Classes:
     n_units: int
     end: int
 
-    def path(self, units: np.ndarray, rest: np.ndarray, others: np.ndarray | None) -> np.ndarray:
-        """The class of each token; ``others`` has those of the row's other words, -1 for none."""
-        of = self.units[units]
-        at = np.flatnonzero(units[:-1] >= self.n_units)
-        known = rest >= 0
-        of[at[known]] = self.words[rest[known]]
-        if others is not None:
-            own = others[-1 - rest[~known]]
-            of[at[~known]] = np.where(own >= 0, own, of[at[~known]])
-        return of
+    def path(self, units: pa.Array, rest: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each token of all rows, other words in that of their slot; how many tokens
+        each row has; where tokens in slots stand, and their words."""
+        own, sizes = unpacked(units, np.uint16)
+        words, _ = unpacked(rest, np.int32)
+        slotted = own >= self.n_units
+        slotted[np.cumsum(sizes) - 1] = False
+        at, of = np.flatnonzero(slotted), self.units[own]
+        of[at[words >= 0]] = self.words[words[words >= 0]]
+        return of, sizes, at, words
+
+    def before(self, of: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The class before each token of ``path``."""
+        before = np.r_[self.end, of[:-1]]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = self.end
+        return before
 
 
 def gather_words(texts: DataFrame, model: Classes, n_classes: int, of_others: bool, names: list[bytes]) -> DataFrame:
-    """``word, places, counts``: as ``gather``, for the words in slots that are in the
-    dictionary, or that are not. A word has further rows next to its first."""
+    """``word, cells``: as ``gather``, for the words in slots that are in the dictionary, or that
+    are not; a cell is its place plus ``width`` times its count. A word has further rows next to its first."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((vars(model), None if of_others else names))
     width = 2 * n_classes + 1
@@ -358,18 +424,16 @@ def gather_words(texts: DataFrame, model: Classes, n_classes: int, of_others: bo
         for whole in batches:
             for batch in chunks(whole, "units"):
                 found = [np.zeros(0, np.int64)]
-                distinct = batch.column("others").value_lengths().to_numpy() if of_others else np.zeros(batch.num_rows, np.int64)
-                begins = np.cumsum(distinct) - distinct
-                for data, rest, begin in zip(batch.column("units").to_pylist(), batch.column("rest").to_pylist(), begins):
-                    units, rest = np.frombuffer(data, np.uint16), np.frombuffer(rest, np.int32)
-                    mine = rest < 0 if of_others else rest >= 0
-                    if not mine.any():
-                        continue
-                    of = model.path(units, rest, None)
-                    at, word = np.flatnonzero(units[:-1] >= model.n_units)[mine], rest[mine].astype(np.int64)
+                start = 0
+                for few in chunks(batch, "units", FEW_BYTES):
+                    of, sizes, at, word = model.path(few.column("units"), few.column("rest"))
+                    before, row = model.before(of, sizes), np.repeat(np.arange(len(sizes)), sizes)[at]
+                    mine = word < 0 if of_others else word >= 0
+                    at, word = at[mine], word[mine].astype(np.int64)
                     if of_others:
-                        word = begin - 1 - word
-                    before = np.r_[model.end, of[:-1]]
+                        distinct = few.column("others").value_lengths().to_numpy()
+                        word = (start + np.cumsum(distinct) - distinct)[row[mine]] - 1 - word
+                        start += int(distinct.sum())
                     again = (np.diff(at) == 1) & (np.diff(word) == 0)
                     found += [word * width + of[at + 1], word * width + n_classes + before[at], word[1:][again] * width + 2 * n_classes]
                 keys = np.concatenate(found)
@@ -379,13 +443,12 @@ def gather_words(texts: DataFrame, model: Classes, n_classes: int, of_others: bo
                 keys, n = np.unique(keys, return_counts=True)
                 own, first = np.unique(keys // width, return_index=True)
                 edges = pa.array(np.r_[first, len(keys)].astype(np.int32))
-                places = pa.ListArray.from_arrays(edges, pa.array((keys % width).astype(np.int32)))
-                counts = pa.ListArray.from_arrays(edges, pa.array(n.astype(np.int64)))
+                cells = pa.ListArray.from_arrays(edges, pa.array(keys % width + n * width))
                 text = coded.dictionary.take(pa.array(own)) if of_others else pa.array([names[i] for i in own.tolist()], pa.binary())
-                yield pa.record_batch([text, places, counts], ["word", "places", "counts"])
+                yield pa.record_batch([text, cells], ["word", "cells"])
 
     rows = texts.where(~F.col("held_out")).select("units", "rest", *(["others"] if of_others else []))
-    found = rows.mapInArrow(run, "word binary, places array<int>, counts array<bigint>")
+    found = rows.mapInArrow(run, "word binary, cells array<bigint>")
     return found.repartition("word").sortWithinPartitions("word")
 
 
@@ -393,13 +456,15 @@ def added_words(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple
     """Up to ``TOGETHER`` words and their counts from rows of ``gather_words``."""
     held: tuple[list[bytes], np.ndarray] = ([], np.zeros((0, width)))
     for batch in batches:
-        words, sizes = batch.column("word").to_pylist(), batch.column("places").value_lengths().to_numpy()
-        places, n = batch.column("places").flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
-        run = np.cumsum([i > 0 and words[i] != words[i - 1] for i in range(len(words))], dtype=np.int64)
+        column, sizes = batch.column("word"), batch.column("cells").value_lengths().to_numpy()
+        n, places = np.divmod(batch.column("cells").flatten().to_numpy(), width)
+        new = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        run = np.r_[0, np.cumsum(new)][: len(column)]
         firsts = np.flatnonzero(np.diff(run, prepend=-1))
+        words = listed(column.take(pa.array(firsts)))
         of = np.repeat(run, sizes)
         for start in range(0, len(firsts), TOGETHER):
-            names = [words[i] for i in firsts[start : start + TOGETHER]]
+            names = words[start : start + TOGETHER]
             a, b = np.searchsorted(of, [start, start + len(names)])
             cells = (of[a:b] - start) * width + places[a:b]
             counts = np.bincount(cells, weights=n[a:b], minlength=len(names) * width).reshape(len(names), width)
@@ -418,12 +483,6 @@ def exchange_many(counts: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> n
     units = np.arange(len(counts))
     after, before, itself = counts[:, :n].astype(float), counts[:, n : 2 * n].astype(float), counts[:, 2 * n].astype(float)
     out, into = after.sum(axis=1), before.sum(axis=1)
-    inside = np.repeat(np.diag(bigrams)[None], len(counts), axis=0)
-    inside[units, own] -= after[units, own] + before[units, own] - itself
-    np.maximum(inside, 0.0, out=inside)
-    rows, columns = np.repeat(bigrams.sum(axis=1)[None], len(counts), axis=0), np.repeat(bigrams.sum(axis=0)[None], len(counts), axis=0)
-    rows[units, own] -= out
-    columns[units, own] -= into
     left_after, left_before = after.copy(), before.copy()
     left_after[units, own] = np.maximum(0.0, after[units, own] - itself)
     left_before[units, own] = np.maximum(0.0, before[units, own] - itself)
@@ -434,30 +493,43 @@ def exchange_many(counts: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> n
         (left_before, before, after, bigrams, usual),
     ):
         unit, to = np.nonzero(left)
-        now = matrix[to]  # by class: the counts of its pairs with ``to``, without the unit's own
-        each = np.arange(len(unit))
-        now[each, own[unit]] -= whole[unit, to]
-        same = np.flatnonzero(to == own[unit])
-        now[same] -= other[unit[same]]
-        now[same, own[unit[same]]] += itself[unit[same]]
+        if not len(unit):
+            continue
+        each, mine, n_left = np.arange(len(unit)), own[unit], left[unit, to]
+        # Most pairs are worth what they are to any unit with as many; those of its own class lack the unit's.
+        _, first, like = np.unique(n_left * n + to, return_index=True, return_inverse=True)
+        more = (x_log_x(matrix[to[first]] + n_left[first, None]) - logs[to[first]])[like]
+        now = np.maximum(matrix[to, mine] - whole[unit, to], 0.0)
+        more[each, mine] = x_log_x(now + n_left) - x_log_x(now)
+        same = np.flatnonzero(to == mine)
+        now = matrix[to[same]]  # by class: the counts of its pairs with ``to``, without the unit's own
+        now[np.arange(len(same)), mine[same]] -= whole[unit[same], to[same]]
+        now -= other[unit[same]]
+        now[np.arange(len(same)), mine[same]] += itself[unit[same]]
         np.maximum(now, 0.0, out=now)
-        before_now = logs[to]
-        before_now[each, own[unit]] = x_log_x(now[each, own[unit]])
-        before_now[same] = x_log_x(now[same])
-        more = x_log_x(now + left[unit, to][:, None]) - before_now
+        more[same] = x_log_x(now + n_left[same, None]) - x_log_x(now)
         more[each, to] = 0.0
         edges = np.searchsorted(unit, units)
         has = np.diff(np.r_[edges, len(unit)]) > 0
-        if has.any():
-            gain[has] += np.add.reduceat(more, edges[has], axis=0)
-    gain += x_log_x(inside + left_after + left_before + itself[:, None]) - x_log_x(inside)
-    gain -= x_log_x(rows + out[:, None]) - x_log_x(rows) + x_log_x(columns + into[:, None]) - x_log_x(columns)
+        gain[has] += np.add.reduceat(more, edges[has], axis=0)
+    unit, to = np.nonzero(left_after + left_before + itself[:, None])
+    inside = np.diag(bigrams)[to]
+    mine = to == own[unit]
+    inside[mine] -= (after + before)[unit[mine], to[mine]] - itself[unit[mine]]
+    np.maximum(inside, 0.0, out=inside)
+    gain[unit, to] += x_log_x(inside + left_after[unit, to] + left_before[unit, to] + itself[unit]) - x_log_x(inside)
+    rows, columns = bigrams.sum(axis=1), bigrams.sum(axis=0)
+    grown = lambda r, o, c, i: x_log_x(r + o) - x_log_x(r) + x_log_x(c + i) - x_log_x(c)
+    _, first, like = np.unique(np.stack([out, into]), axis=1, return_index=True, return_inverse=True)
+    sizes = grown(rows, out[first, None], columns, into[first, None])[like.ravel()]
+    sizes[units, own] = grown(rows[own] - out, out, columns[own] - into, into)
+    gain -= sizes
     best = gain.argmax(axis=1)
     return np.where(gain[units, own] >= gain[units, best], own, best)
 
 
 def move_words(counted: DataFrame, dictionary: Dictionary, model: Classes, bigrams: np.ndarray) -> DataFrame:
-    """``word, class`` from ``gather_words``. Words are moved together, against the same counts,
+    """``word, n, class`` from ``gather_words``. Words are moved together, against the same counts,
     as long as they are few and hold under a ``FEW``-th of the tokens."""
     n_classes = len(bigrams)
     limit = bigrams.sum() / FEW
@@ -467,72 +539,92 @@ def move_words(counted: DataFrame, dictionary: Dictionary, model: Classes, bigra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model, now = Dictionary(**shared.value[0]), Classes(**shared.value[1]), shared.value[2].copy()
         for words, found in added_words(batches, width):
-            ends, stop = np.cumsum(found[:, :n_classes].sum(axis=1)), 0
-            own = np.array([model.units[known.unit(w)] if w not in known.words else model.words[known.words[w]] for w in words], np.int64)
+            # Every token precedes one.
+            times = found[:, :n_classes].sum(axis=1)
+            ends, stop = np.cumsum(times), 0
+            at = np.fromiter(map(known.words.get, words, repeat(-1)), np.int64, len(words))
+            own = np.empty(len(words), np.int64)
+            own[at >= 0] = model.words[at[at >= 0]]
+            own[at < 0] = model.units[[known.unit(words[i]) for i in np.flatnonzero(at < 0).tolist()]]
             best = own.copy()
             while stop < len(words):
                 start, full = stop, (ends[stop - 1] if stop else 0.0) + limit
                 stop = max(start + 1, int(np.searchsorted(ends, full)))
                 counts = found[start:stop]
                 best[start:stop] = exchange_many(counts, own[start:stop], now)
+                unit, place = np.nonzero(counts[:, : 2 * n_classes])
+                n = counts[unit, place]
                 for to, sign in ((own[start:stop], -1), (best[start:stop], 1)):
-                    np.add.at(now, to, sign * counts[:, :n_classes])
-                    np.add.at(now.T, to, sign * counts[:, n_classes : 2 * n_classes])
+                    cells = np.where(place < n_classes, to[unit] * n_classes + place, (place - n_classes) * n_classes + to[unit])
+                    now += sign * np.bincount(cells, n, n_classes * n_classes).reshape(n_classes, n_classes)
                 np.maximum(now, 0.0, out=now)
-            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(best.astype(np.int32))], ["word", "class"])
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(times.astype(np.int64)), pa.array(best.astype(np.int32))], ["word", "n", "class"])
 
-    return counted.mapInArrow(run, "word binary, class int")
+    return counted.mapInArrow(run, "word binary, n long, class int")
 
 
-def with_paths(texts: DataFrame, model: Classes, use: bool) -> DataFrame:
-    """``texts`` with ``path``, the classes of each row's tokens as 16-bit integers; with
-    ``use`` the other words have those in ``classes``, a list of ``at`` and ``class``."""
+def with_paths(texts: DataFrame, model: Classes, spots: bool, kind: str = "u2") -> DataFrame:
+    """``texts`` with ``path``, the classes of each row's tokens as integers of type ``kind``; with
+    ``spots`` also the places of the row's other words, then their numbers."""
     shared = texts.sparkSession.sparkContext.broadcast(vars(model))
 
+    @F.arrow_udf("struct<path: binary, spots: binary>")
+    def run(units: pa.Array, rest: pa.Array) -> pa.Array:
+        model, done = Classes(**shared.value), [pa.array([], pa.struct([("path", pa.binary()), ("spots", pa.binary())]))]
+        for few in chunks(pa.record_batch([units, rest], ["units", "rest"]), "units", FEW_BYTES):
+            of, sizes, at, words = model.path(few.column("units"), few.column("rest"))
+            found = [None] * len(sizes)
+            if spots:
+                at, number = at[words < 0], -1 - words[words < 0]
+                starts = np.cumsum(sizes) - sizes
+                edges = np.searchsorted(at, np.r_[starts, len(of)]).tolist()
+                for i, (a, b, start, size) in enumerate(zip(edges, edges[1:], starts.tolist(), sizes.tolist())):
+                    found[i] = np.r_[at[a:b] - start, number[a:b]].astype(np.min_scalar_type(size)).tobytes()
+            done.append(pa.StructArray.from_arrays([packed(of.astype(kind), sizes), pa.array(found, pa.binary())], ["path", "spots"]))
+        return pa.concat_arrays(done)
+
+    traced = texts.withColumn("path", run("units", "rest"))
+    if spots:
+        traced = traced.withColumn("spots", F.col("path.spots"))
+    return traced.withColumn("path", F.col("path.path"))
+
+
+def with_others(rows: DataFrame, kind: str) -> DataFrame:
+    """``with_paths`` after the other words have the classes in ``classes``, a list of ``at`` and
+    ``class``; the path is of 16-bit integers."""
+
     @F.arrow_udf("binary")
-    def run(units: pa.Array, rest: pa.Array, classes: pa.Array) -> pa.Array:
-        model, paths = Classes(**shared.value), []
-        for data, slotted, own in zip(units, rest, classes):
-            words, others = np.frombuffer(slotted.as_py(), np.int32), None
-            if own.is_valid and len(words):
-                others = np.full(max(0, -int(words.min())), -1, dtype=np.int64)
+    def run(paths: pa.Array, spots: pa.Array, classes: pa.Array) -> pa.Array:
+        found = []
+        for path, spot, own in zip(paths, spots, classes):
+            of = np.frombuffer(path.as_py(), kind).astype(np.uint16)
+            if own.is_valid:
+                at, number = np.frombuffer(spot.as_py(), np.min_scalar_type(len(of))).reshape(2, -1).astype(np.int64)
+                others = np.full(number.max(initial=-1) + 1, -1, dtype=np.int64)
                 others[own.values.field("at").to_numpy()] = own.values.field("class").to_numpy()
-            paths.append(model.path(np.frombuffer(data.as_py(), np.uint16), words, others).astype(np.uint16).tobytes())
-        return pa.array(paths, pa.binary())
+                learnt = others[number] >= 0
+                of[at[learnt]] = others[number[learnt]]
+            found.append(of.tobytes())
+        return pa.array(found, pa.binary())
 
-    given = F.col("classes") if use else F.lit(None).cast("array<struct<at: int, class: int>>")
-    return texts.withColumn("path", run("units", "rest", given))
+    return rows.withColumn("path", run("path", "spots", "classes")).drop("spots", "classes")
 
 
 def path_bigrams(rows: DataFrame, n_classes: int, end: int, model: Classes | None = None) -> np.ndarray:
     """How often each class follows each in the training rows' paths; with ``model``, of texts that have none yet."""
     shared = rows.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
-
-    def paths(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        if shared.value is None:
-            for path in batch.column("path").to_pylist():
-                yield np.frombuffer(path, np.uint16)
-            return
-        model = Classes(**shared.value)
-        for units, rest in zip(batch.column("units").to_pylist(), batch.column("rest").to_pylist()):
-            yield model.path(np.frombuffer(units, np.uint16), np.frombuffer(rest, np.int32), None)
+    columns = ["path"] if model is None else ["units", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Classes(np.zeros(0), np.zeros(0), 0, end) if shared.value is None else Classes(**shared.value)
         found = np.zeros(n_classes * n_classes)
-        for batch in batches:
-            held, size = [], 0
-            for path in paths(batch):
-                of = path.astype(np.int64)
-                held.append(np.r_[end, of[:-1]] * n_classes + of)
-                size += len(of)
-                if size > 1_000_000:
-                    found += np.bincount(np.concatenate(held), minlength=len(found))
-                    held, size = [], 0
-            if held:
-                found += np.bincount(np.concatenate(held), minlength=len(found))
+        for whole in batches:
+            for batch in chunks(whole, columns[0], FEW_BYTES):
+                of, sizes = unpacked(batch.column("path"), np.uint16) if shared.value is None else model.path(batch.column("units"), batch.column("rest"))[:2]
+                of = of.astype(np.int64)
+                found += np.bincount(model.before(of, sizes) * n_classes + of, minlength=len(found))
         yield pa.record_batch([pa.array([found.tobytes()], pa.binary())], ["found"])
 
-    columns = ["path"] if model is None else ["units", "rest"]
     rows = rows.where(~F.col("held_out")).select(*columns).mapInArrow(run, "found binary").collect()
     return sum((np.frombuffer(r["found"]) for r in rows), np.zeros(n_classes * n_classes)).reshape(n_classes, n_classes)
 
@@ -540,8 +632,8 @@ def path_bigrams(rows: DataFrame, n_classes: int, end: int, model: Classes | Non
 def settle_words(
     texts: DataFrame, counted: DataFrame, dictionary: Dictionary, classes: np.ndarray, bigrams: np.ndarray
 ) -> tuple[DataFrame, DataFrame, Classes, np.ndarray, list[float]]:
-    """The texts' paths and the learnt words' counts and classes after every word in a slot
-    has moved, the class bigrams, and the likelihood before, between and after. Moves of all
+    """The texts' paths, and counts and classes of the learnt words outside the dictionary, after
+    every word in a slot has moved, the class bigrams, and the likelihood before, between and after. Moves of all
     words that lower it are not taken."""
     n_classes, n_units = len(bigrams), dictionary.n_units
     end, names = int(classes[dictionary.unit(END)]), list(dictionary.words)
@@ -549,7 +641,7 @@ def settle_words(
     found = [likelihood(bigrams)]
 
     words = model.words.copy()
-    for word, to in move_words(gather_words(texts, model, n_classes, False, names), dictionary, model, bigrams).collect():
+    for word, _, to in move_words(gather_words(texts, model, n_classes, False, names), dictionary, model, bigrams).collect():
         words[dictionary.words[bytes(word)]] = to
     moved = Classes(classes, words, n_units, end)
     after = path_bigrams(texts, n_classes, end, moved)
@@ -557,23 +649,26 @@ def settle_words(
     if found[-1] >= found[-2]:
         model, bigrams = moved, after
 
-    own = settle(move_words(gather_words(texts, model, n_classes, True, names), dictionary, model, bigrams))
-    learnt = settle(counted.join(own, "word", "left"))
+    learnt = settle(move_words(gather_words(texts, model, n_classes, True, names), dictionary, model, bigrams))
     others = texts.select("row", F.posexplode("others").alias("at", "other")).select("row", "at", "other.word", "other.n")
-    met = others.join(learnt.withColumnRenamed("n", "count"), "word")
+    # As large as the vocabulary, so never sent to every task.
+    met = others.join(learnt.withColumnRenamed("n", "count").hint("merge"), "word")
     sums = met.groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("more_logs"),
         F.sum("n").alias("more_known"),
         F.collect_list(F.struct("at", "class")).alias("classes"),
     )
-    joined = texts.drop("others").join(sums, "row", "left")
-    paths = settle(with_paths(joined, model, True).drop("units", "rest", "classes"))
+    # Texts meet the sums as paths of the fewest bytes.
+    kind = "u1" if n_classes <= 256 else "u2"
+    traced = with_paths(texts.drop("others"), model, True, kind).drop("units", "rest")
+    paths = settle(with_others(traced.join(sums, "row", "left"), kind), compression="zstd")
     after = path_bigrams(paths, n_classes, end)
     found.append(likelihood(after))
     if found[-1] >= likelihood(bigrams):
         bigrams = after
     else:
-        paths = settle(with_paths(joined, model, False).drop("units", "rest", "classes"))
+        plain = with_paths(texts.drop("others"), model, False).drop("units", "rest")
+        paths = settle(plain.join(sums.drop("classes"), "row", "left"), compression="zstd")
         learnt = learnt.withColumn("class", F.lit(None).cast("int"))
     return paths, learnt, model, bigrams, found
 
@@ -582,26 +677,26 @@ def settle_words(
 
 
 def class_sizes(learnt: DataFrame, dictionary: Dictionary, model: Classes, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of every class."""
+    """Tokens and distinct words of every class, of the dictionary and the words ``learnt`` beside
+    it, which without a class have that of their slot."""
     shared = learnt.sparkSession.sparkContext.broadcast((vars(dictionary), vars(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = Dictionary(**shared.value[0]), Classes(**shared.value[1])
         for batch in batches:
-            words, given = batch.column("word").to_pylist(), batch.column("class").to_pylist()
-            of = [
-                model.words[known.words[w]] if w in known.words else model.units[known.unit(w)] if c is None else c
-                for w, c in zip(words, given)
-            ]
-            of, n = np.array(of, dtype=np.int64), batch.column("n").to_numpy()
+            of, n = batch.column("class"), batch.column("n").to_numpy()
+            if of.null_count:
+                of = pa.array([model.units[known.unit(w)] for w in listed(batch.column("word"))], pa.int32())
+            of = of.to_numpy()
             tokens = np.bincount(of, weights=n, minlength=n_classes).astype(np.int64)
             words = np.bincount(of, minlength=n_classes)
             yield pa.record_batch([pa.array(np.arange(n_classes)), pa.array(tokens), pa.array(words)], ["class", "tokens", "words"])
 
     sums = learnt.mapInArrow(run, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens"), F.sum("words"))
-    tokens, words = np.zeros(n_classes), np.zeros(n_classes)
+    tokens, words = np.bincount(model.words, dictionary.counts, n_classes), np.bincount(model.words, None, n_classes).astype(float)
     for of, n, distinct in sums.collect():
-        tokens[of], words[of] = n, distinct
+        tokens[of] += n
+        words[of] += distinct
     return tokens, words
 
 
@@ -628,7 +723,7 @@ def score_texts(
     n_tokens, n_words = totals[0] or 0, totals[1]
     dictionary = Dictionary.of(counted, known, n_units, n_slots)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out, "text")
-    texts = settle(read_texts(rows, dictionary))
+    texts = settle(read_texts(rows, dictionary), compression="zstd")
     end = dictionary.unit(END)
     classes, bigrams, _ = cluster(texts, n_units + n_slots, n_classes, end, rounds)
     paths, learnt, model, bigrams, _ = settle_words(texts, counted, dictionary, classes, bigrams)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from ratepanel.llm import brown
@@ -151,3 +152,46 @@ def test_words_of_one_slot_part(spark):
         of = [own[w] for w in tokens(texts[0][1])]
         assert paths.where("row = 0").first()["path"] == np.array(of, np.uint16).tobytes()
         assert brown.class_sizes(learnt, dictionary, model, 6)[0].tolist() == bigrams.sum(axis=0).tolist()
+
+
+def test_words_are_those_of_bytes():
+    """Arrow splits and lowers as ``bytes`` do, whatever the bytes."""
+    rng = np.random.default_rng(8)
+    some = [*b" \t\n\v\f\r" * 12, *range(256)]
+    texts = [None, b"", b" \t", "É a\u00a0b\u0085c\u2003D\x1cE".encode(), *(bytes(rng.choice(some, n).tolist()) for n in range(200))]
+    binary = pa.array(texts, pa.binary())
+    words, sizes = brown.split_words(pa.Array.from_buffers(pa.string(), len(binary), binary.buffers())[1:])
+    expected = [(t or b"").lower().split() for t in texts[1:]]
+    assert sizes.tolist() == [len(w) for w in expected]
+    names = brown.listed(words.dictionary.cast(pa.binary()))
+    assert [names[i] for i in words.indices.to_numpy()] == [w for ws in expected for w in ws]
+
+
+def test_counts_leave_in_few_bytes():
+    """What a round shuffles of a block: three bytes a cell where counts are small, and any count survives."""
+    rng = np.random.default_rng(9)
+    for most, size in ((200, 3), (60_000, 4), (2**40, 10)):
+        own = np.where(rng.random(8256) < 0.4, rng.integers(1, most, 8256), 0)
+        places = np.flatnonzero(own)
+        steps, counts = brown.narrow(np.diff(places, prepend=0)), brown.narrow(own[places])
+        assert len(steps) + len(counts) <= size * len(places)
+        assert np.array_equal(np.cumsum(brown.widened(steps, len(places))), places)
+        assert np.array_equal(brown.widened(counts, len(places)), own[places])
+
+
+def test_most_frequent_words_are_sorted_without_the_rare(spark):
+    rows = [(f"w{i:03d}".encode(), 1 + i % 7 + 2000 * (i % 50 == 0)) for i in range(300)] + [(b"", 1), (b"x" * 99, 5000)]
+    counted = spark.createDataFrame([(bytearray(w), n) for w, n in rows], "word binary, n long").repartition(3)
+    ranked = [w for w, n in sorted(rows[:-1], key=lambda r: (r[0] != b"", -r[1], r[0]))]
+    for known in (1, 4, 50, 290, 1000):
+        assert list(brown.Dictionary.of(counted, known, 20, 4).words) == ranked[:known]
+
+
+def test_texts_meet_their_sums_as_paths(spark, some_docs, monkeypatch):
+    """The shuffle of the texts holds the class of each token, in a byte, not its unit and word."""
+    settled, settle = [], brown.settle
+    monkeypatch.setattr(brown, "settle", lambda df, **options: settled.append(df) or settle(df, **options))
+    brown.score_texts(some_docs, **SMALL).collect()
+    plan = next(df for df in settled if "more_logs" in df.columns)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter", 1)
+    assert "units#" not in above and "units#" in below
