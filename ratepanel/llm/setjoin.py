@@ -52,7 +52,7 @@ PERCENT = 80
 PARTS = 3
 FEW = 4096
 LEVELS = 4
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 HELD = 65_536
 FINE = 10
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -276,8 +276,8 @@ def gap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.abs(a - b).sum())
 
 
-def counts_in(cells: bytes) -> np.ndarray:
-    return np.frombuffer(cells, dtype=np.uint8).astype(np.int32)
+def counts_in(cells: bytes, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(cells, dtype=np.uint8).astype(kind)
 
 
 @F.arrow_udf(T.BooleanType())
@@ -300,16 +300,16 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int =
     texts = classes.join(wanted.distinct(), "cls").select("text_hash")
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom(texts))
 
-    @F.arrow_udf(T.BooleanType())
-    def holds(hashes: pa.Array) -> pa.Array:
-        return pa.array(held_by(filter_.value, hashes.to_numpy()))
-
+    # One worker a task finds the texts and makes their sets.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for batch in chunks(whole, limit=CHUNK):
+                held = batch.filter(pa.array(held_by(filter_.value, batch.column("text_hash").to_numpy())))
+                if not held.num_rows:
+                    continue
                 found = {}
-                for s in shingle_sets(list(byte_texts(batch.column("text"))), width):
+                for s in shingle_sets(list(byte_texts(held.column("text"))), width):
                     if len(s) and (cls := class_of(s)) not in seen:
                         seen.add(cls)
                         found[cls] = s
@@ -318,7 +318,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int =
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(values))
                 yield pa.record_batch([pa.array(list(found), pa.int64()), lists], ["cls", "shingles"])
 
-    rows = docs.where(F.col("text").isNotNull()).where(holds(text_key())).select("text").mapInArrow(run, "cls long, shingles array<long>")
+    rows = docs.where(F.col("text").isNotNull()).select(text_key().alias("text_hash"), "text")
+    rows = rows.mapInArrow(run, "cls long, shingles array<long>")
     return settle(rows.groupBy("cls").agg(F.min("shingles").alias("shingles")))
 
 
@@ -378,11 +379,11 @@ def compared(rows: DataFrame, classes: DataFrame, few: int = FEW, hubs: bool = F
     def pairs(i: int, j: int, home: np.ndarray, cls: np.ndarray, root: np.ndarray, n: np.ndarray, cells: np.ndarray) -> np.ndarray:
         sizes = np.array([len(c) for c in cells])
         there = {int(k): np.flatnonzero((home == j) & (sizes == k)) for k in np.unique(sizes)}
-        tables = {k: np.stack([counts_in(cells[x]) for x in at]) for k, at in there.items() if len(at)}
+        tables = {k: np.stack([counts_in(cells[x], np.int16) for x in at]) for k, at in there.items() if len(at)}
         smaller = {k: halved(t) for k, t in tables.items()}
         out = []
         for at in np.flatnonzero(home == i):
-            own, k = counts_in(cells[at]), int(sizes[at])
+            own, k = counts_in(cells[at], np.int16), int(sizes[at])
             # linked sets have as many cells, or half or twice as many
             for size, side, mine in ((k, tables, own), (2 * k, smaller, own), (k // 2, tables, halved(own))):
                 if size not in side:

@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ratepanel.llm import setjoin
+from ratepanel.llm.common import byte_texts, chunks
 from pyspark.sql import functions as F
 
 
@@ -141,3 +144,33 @@ def test_cells_never_hide_a_link():
                 both = len(np.intersect1d(a, b))
                 found = setjoin.gap(setjoin.counts_in(setjoin.cells_of(a)), setjoin.counts_in(setjoin.cells_of(b)))
                 assert found <= len(a) + len(b) - 2 * both
+
+
+def test_a_batch_of_texts_is_held_in_small_pieces():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        for part in chunks(batch, limit=setjoin.CHUNK):
+            setjoin.shingle_sets(list(byte_texts(part.column("text"))))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100e6
+
+
+def test_sets_are_read_with_one_python_worker_a_task(spark, monkeypatch):
+    texts = [f"a b c d e{i} f g" for i in range(40)] + [None, "", "x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = setjoin.with_sets(docs).where("n > 0").select("cls", "text_hash")
+    some = sorted(r["cls"] for r in classes.collect())[::6]
+    wanted = classes.where(F.col("cls").isin(some)).select("cls")
+    monkeypatch.setattr(setjoin, "settle", lambda df: df)
+    found = setjoin.sets_of(docs, classes, wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    sets = {setjoin.class_of(s): sorted(s.view(np.int64).tolist()) for s in setjoin.shingle_sets([(t or "").encode() for t in texts])}
+    rows = {r["cls"]: sorted(r["shingles"]) for r in found.collect()}
+    assert set(some) <= set(rows)
+    assert all(rows[c] == sets[c] for c in rows)
